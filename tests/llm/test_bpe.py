@@ -1,0 +1,68 @@
+import hashlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from stratakv.llm import bpe
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+LIBRARY = Tokenizer.from_file(PATH)
+MERGER = bpe.Merger(open(PATH, "rb").read())
+WORDS = [" the", " of", "The", " and", " thing", "ing", "\n", " ", " théâtre", "theothe"]
+LEXICON = bpe.Transducer.compile({w.encode(): MERGER.ids(w.encode()) for w in WORDS})
+
+
+def ids(text, encoder=None):
+    return np.frombuffer((encoder or bpe.Encoder(MERGER, LEXICON)).encode(text), "<u4").tolist()
+
+
+def want(text):
+    return LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from([*WORDS, "<|endoftext|>", "  ", "'s", "\x1c", "\x85", "　", "\t", "ñ", "don't", "123", "́", "😀"]), st.text(max_size=12)), max_size=12).map("".join))
+def test_same_ids_as_the_library_and_round_trip(text):
+    got = ids(text)
+    assert got == want(text)
+    assert bpe.Encoder(MERGER, LEXICON).decode(np.array(got, "<u4").tobytes()) == LIBRARY.decode(got, skip_special_tokens=False)
+
+
+@pytest.mark.parametrize("text", ["a" * 5000, "the" * 900, "ab cd " * 400, "😀" * 300, "x" + " " * 700 + "y"])
+def test_long_words(text):
+    assert ids(text) == want(text)
+
+
+def test_pieces_do_not_change_ids(monkeypatch):
+    text = "The thing  of \n\n théâtre, don't <|endoftext|> it's   123 " * 50
+    monkeypatch.setattr(bpe, "PIECE", 40)
+    monkeypatch.setattr(bpe, "MEMO_WORDS", 5)
+    assert ids(text) == want(text)
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.sets(st.binary(min_size=1, max_size=6), max_size=40), st.lists(st.binary(max_size=6), max_size=20))
+def test_transducer_finds_its_words_only(words, others):
+    t = bpe.Transducer.compile({w: [k] for k, w in enumerate(sorted(words))})
+    ask = [*sorted(words), *others]
+    found = t.find(ask).tolist()
+    assert found == [sorted(words).index(w) if w in words else -1 for w in ask]
+
+
+def test_suffixes_are_shared():
+    t = bpe.Transducer.compile({p + b"ing": [1] for p in (b"a", b"b", b"c")})
+    assert len(t.final) == 5
+
+
+def test_query_rows(spark, docs):
+    rows = {r["doc_id"]: r for r in bpe.encode(docs, PATH, lexicon_words=20, decoded=True).collect()}
+    for d in docs.collect():
+        text = d["text"] or ""
+        r = rows[d["doc_id"]]
+        assert (r["n_tokens"], bytes(r["ids"]), r["decoded"]) == (len(want(text)), np.array(want(text), "<u4").tobytes(), text)
+    assert bpe.encode(docs.limit(0), PATH).count() == 0
+    assert hashlib.sha256(b"").hexdigest()
