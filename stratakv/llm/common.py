@@ -139,3 +139,21 @@ def lookup(rows: DataFrame, small: DataFrame, keys: Sequence[str], weight: str,
     cold = cold.withColumn("cold_spread", F.lit(0).cast("long"))
     second = first.join(cold, [*[F.col(k) == F.col(f"cold_{k}") for k in keys], F.col("spread_") == F.col("cold_spread")], "left")
     return second.select(*rows.columns, *[F.coalesce(F.col(f"hot_{v}"), F.col(f"cold_{v}")).alias(v) for v in values])
+
+
+#: Labelled rows that a classifier is fitted on at most, and the longest text among them in bytes.
+SAMPLE_ROWS = 5000
+SAMPLE_TEXT_BYTES = 100_000
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, mod: int, out: int, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> list[tuple[str, int]]:
+    """(text, label) of at most `rows` labelled documents, in the order of a hash of their ids.
+
+    Rows whose crc32 remainder by `mod` is `out` are held out. Null ids, texts and labels are passed over. The sampled
+    ids are few, so they are broadcast and no text is shuffled.
+    """
+    own = labels.select(F.col(id_col).cast("string").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
+    own = own.where(remainder("id", mod) != out).orderBy(F.xxhash64("id"), "id", "y").limit(rows)
+    texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("t")).where(F.octet_length("t") <= SAMPLE_TEXT_BYTES)
+    found = texts.join(F.broadcast(own), "id").select("id", "t", "y").limit(2 * rows).collect()
+    return [(r["t"], int(r["y"] > 0)) for r in sorted(found, key=lambda r: (r["id"], r["t"], r["y"]))]

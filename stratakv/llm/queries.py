@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, mixing, quality_rules, simhash, url_filter
+from . import bpe, exact_dedup, language_id, mixing, quality_classifier, quality_rules, simhash, toxicity, url_filter
 from .common import remainder, table
 
 
@@ -44,7 +44,19 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_url_filter, op4_exact_dedup, op6_adaptive_quality, op7_source_mixing, op8_byte_bpe)}
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = quality_classifier.classify(docs, quality_classifier.train(docs, labels))
+    return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = toxicity.classify(docs, toxicity.train(docs, labels))
+    return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_url_filter, op4_exact_dedup, op6_adaptive_quality, op7_source_mixing, op8_byte_bpe, op9_quality_classifier, op10_toxicity)}
 
 ORACLES: dict[str, str] = {
     "op3_url_filter": r"""
