@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, mixing, quality_classifier, quality_rules, simhash, toxicity, url_filter
+from . import bpe, exact_dedup, language_id, language_model, mixing, quality_classifier, quality_rules, simhash, toxicity, url_filter
 from .common import remainder, table
 
 
@@ -30,6 +30,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_pitman_yor_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language_model.score(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("failed")
 
@@ -56,7 +61,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_url_filter, op4_exact_dedup, op6_adaptive_quality, op7_source_mixing, op8_byte_bpe, op9_quality_classifier, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_simhash_near_dedup, op3_url_filter, op4_exact_dedup, op5_pitman_yor_lm, op6_adaptive_quality, op7_source_mixing, op8_byte_bpe, op9_quality_classifier, op10_toxicity)}
 
 ORACLES: dict[str, str] = {
     "op3_url_filter": r"""
