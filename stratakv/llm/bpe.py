@@ -19,18 +19,18 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text
+from .common import Table, map_text, small_batches
 
 #: Words of the lexicon, the most frequent of the corpus; it bounds the shipped file, not what can be encoded.
-LEXICON_WORDS = 1 << 16
+LEXICON_WORDS = 1 << 17
 #: Longest word (bytes) that the lexicon takes.
 LEXICON_BYTES = 64
 #: Words whose ids a task remembers; beyond, it starts anew.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 700_000
 #: Characters of a text that are cut into words at a time.
 PIECE = 1 << 20
-#: Above this many bytes a word is merged with a heap.
-LONG_WORD = 96
+#: Words of up to MANY_BYTES bytes are merged together, so many at a time; above LONG_WORD bytes one is merged with a heap.
+MANY, MANY_BYTES, LONG_WORD = 1 << 13, 40, 96
 
 # The pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -63,6 +63,10 @@ class Merger:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.rank[vocab[a], vocab[b]] = len(self.made)
             self.made.append(vocab[a + b])
+        keys = np.array([a << 32 | b for a, b in self.rank], np.int64)
+        order = np.argsort(keys)
+        self.pairs, self.pair_rank = keys[order], np.fromiter(self.rank.values(), np.int64, len(keys))[order]
+        self.byte_ids, self.made_ids = np.array(self.bytes_id, np.int64), np.array(self.made, np.int64)
         self.special = {t["content"]: t["id"] for t in j.get("added_tokens", [])}
         self.text = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
         for t, i in [*vocab.items(), *self.special.items()]:
@@ -88,6 +92,55 @@ class Merger:
                 ranks[i] = rank((new, ids[i + 1]), FAR)
         return ids
 
+    def ids_many(self, words: Sequence[bytes]) -> list[bytes]:
+        """Ids of each word as little-endian unsigned 32-bit integers; all words take their next merge in step."""
+        out: list[bytes] = [b""] * len(words)
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        for i in np.flatnonzero(lens > MANY_BYTES).tolist():
+            out[i] = np.array(self.ids(words[i]), "<u4").tobytes()
+        order = np.argsort(lens, kind="stable")
+        order = order[lens[order] <= MANY_BYTES]
+        for at in range(0, len(order), MANY):
+            row = order[at : at + MANY]
+            self._in_step(row, [words[i] for i in row.tolist()], lens[row], out)
+        return out
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        want = a.astype(np.int64) << 32 | b
+        k = np.minimum(np.searchsorted(self.pairs, want), len(self.pairs) - 1)
+        return np.where(self.pairs[k] == want, self.pair_rank[k], FAR)
+
+    def _in_step(self, row: np.ndarray, words: list[bytes], lens: np.ndarray, out: list[bytes]) -> None:
+        width = int(lens[-1]) + 1  # the last place of a row stays empty
+        cols = np.arange(width)
+        ids = np.full((len(words), width), -1, np.int64)
+        ids[cols < lens[:, None]] = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        ranks = np.full((len(words), width), FAR, np.int64)
+        pair = cols < lens[:, None] - 1
+        ranks[pair] = self._ranks(ids[pair], np.roll(ids, -1, axis=1)[pair])
+        while len(row):
+            at = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(row)), at]
+            done = best == FAR
+            if done.any():
+                for i, x in zip(row[done].tolist(), ids[done].astype("<u4"), strict=True):
+                    out[i] = x.tobytes()
+                for i, n in zip(row[done].tolist(), (ids[done] >= 0).sum(axis=1).tolist(), strict=True):
+                    out[i] = out[i][: 4 * n]
+                row, ids, ranks, at, best = (x[~done] for x in (row, ids, ranks, at, best))
+                if not len(row):
+                    break
+            new, each = self.made_ids[best], np.arange(len(row))
+            after = np.minimum(cols + (cols > at[:, None]), width - 1)
+            ids = np.take_along_axis(ids, after, axis=1)
+            ids[each, at] = new
+            after = np.minimum(cols + (cols >= at[:, None]), width - 1)
+            ranks = np.take_along_axis(ranks, after, axis=1)
+            left = at > 0
+            ranks[each[left], at[left] - 1] = self._ranks(ids[each[left], at[left] - 1], new[left])
+            following = ids[each, np.minimum(at + 1, width - 1)]
+            ranks[each, at] = np.where(following >= 0, self._ranks(new, following), FAR)
+
     def _long(self, ids: list[int]) -> list[int]:
         n, rank = len(ids), self.rank.get
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
@@ -249,8 +302,30 @@ class Encoder:
             return
         raw = [w.encode() for w in new]
         numbers, at, ids = self.lexicon.find(raw), self.lexicon.at, self.lexicon.ids
-        for w, b, k in zip(new, raw, numbers.tolist(), strict=True):
-            self.memo[w] = ids[at[k] : at[k + 1]].tobytes() if k >= 0 else np.array(self.merger.ids(b), "<u4").tobytes()
+        unseen = np.flatnonzero(numbers < 0).tolist()
+        for i, x in zip(unseen, self.merger.ids_many([raw[i] for i in unseen]), strict=True):
+            self.memo[new[i]] = x
+        seen = np.flatnonzero(numbers >= 0)
+        for i, a, b in zip(seen.tolist(), at[numbers[seen]].tolist(), at[numbers[seen] + 1].tolist(), strict=True):
+            self.memo[new[i]] = ids[a:b].tobytes()
+
+    def encode_all(self, texts: Sequence[str]) -> list[bytes]:
+        """`encode` of each text; the words of many texts are learned together, and of long ones apart."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            group, size = [], 0
+            while at < len(texts) and len(texts[at]) <= PIECE and (size := size + len(texts[at])) <= 4 * PIECE:
+                group.append([(WORDS.findall(p), None) if not special else ((), p) for p, special in pieces(texts[at], self.special)])
+                at += 1
+            if not group:
+                out.append(self.encode(texts[at]))
+                at += 1
+                continue
+            self.learn(set().union(*(words for text in group for words, _ in text)))
+            get = self.memo.__getitem__
+            out += [b"".join([b"".join(map(get, words)) if s is None else self.special[s] for words, s in text]) for text in group]
+        return out
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -288,8 +363,6 @@ def count_words(docs: DataFrame, special: Sequence[str], id_col: str, text_col:
                 counts = Counter()
         yield _counted(counts)
 
-    from .common import small_batches
-
     small_batches(docs.sparkSession)
     return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
@@ -300,9 +373,23 @@ def _counted(counts: Counter) -> pa.RecordBatch:
 
 
 def compile_lexicon(docs: DataFrame, merger: Merger, size: int, id_col: str, text_col: str) -> Transducer:
-    """The `size` most frequent words of the corpus, ties in order of the word."""
-    top = count_words(docs, list(merger.special), id_col, text_col).orderBy(F.desc("n"), "w").limit(size).collect()
-    return Transducer.compile({r["w"].encode(): merger.ids(r["w"].encode()) for r in top})
+    """The most frequent words of the corpus, as many as fit in `size` by steps of an eighth of a power of two.
+
+    A histogram over those steps tells which count is enough, so no more than `size` words come to the driver.
+    """
+    counts = Table(count_words(docs, list(merger.special), id_col, text_col), "words")
+    step = F.floor(F.log2("n") * 8).cast("int")
+    total, least = 0, None
+    for r in counts.df.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # 8 rows a power of two
+        total += r["count"]
+        if total > size:
+            break
+        least = r["step"]
+    top = [] if least is None else counts.df.where(step >= least).collect()
+    counts.drop()
+    words = [r["w"].encode() for r in top]
+    ids = merger.ids_many(words)
+    return Transducer.compile({w: np.frombuffer(x, "<u4").tolist() for w, x in zip(words, ids, strict=True)})
 
 
 def _ship(docs: DataFrame, lexicon: Transducer) -> str:
@@ -330,7 +417,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         encoder = _once(name, lambda: Encoder(merger, Transducer.load(SparkFiles.get(name))))
 
         def run(texts):
-            ids = [encoder.encode(t or "") for t in texts]
+            ids = encoder.encode_all([t or "" for t in texts])
             out = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
             return out + [pa.array([encoder.decode(x) for x in ids], pa.string())] if decoded else out
 

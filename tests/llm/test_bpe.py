@@ -35,6 +35,7 @@ def test_same_ids_as_the_library_and_round_trip(text):
 @pytest.mark.parametrize("text", ["a" * 5000, "the" * 900, "ab cd " * 400, "😀" * 300, "x" + " " * 700 + "y"])
 def test_long_words(text):
     assert ids(text) == want(text)
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.Encoder(MERGER, LEXICON).encode_all([text, "a <|endoftext|> b", "", text])] == [want(text), want("a <|endoftext|> b"), [], want(text)]
 
 
 def test_pieces_do_not_change_ids(monkeypatch):
@@ -42,6 +43,7 @@ def test_pieces_do_not_change_ids(monkeypatch):
     monkeypatch.setattr(bpe, "PIECE", 40)
     monkeypatch.setattr(bpe, "MEMO_WORDS", 5)
     assert ids(text) == want(text)
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.Encoder(MERGER, LEXICON).encode_all([text, "a <|endoftext|> b", "", text])] == [want(text), want("a <|endoftext|> b"), [], want(text)]
 
 
 @settings(max_examples=50, deadline=None)
@@ -66,3 +68,10 @@ def test_query_rows(spark, docs):
         assert (r["n_tokens"], bytes(r["ids"]), r["decoded"]) == (len(want(text)), np.array(want(text), "<u4").tobytes(), text)
     assert bpe.encode(docs.limit(0), PATH).count() == 0
     assert hashlib.sha256(b"").hexdigest()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.text(min_size=1, max_size=25), st.sampled_from(["theatheaing", " tionationing", "aaaaaaa", "ererererer"])), max_size=30))
+def test_words_in_step_are_merged_as_one_by_one(words):
+    raw = [w.encode() for w in words]
+    assert [np.frombuffer(x, "<u4").tolist() for x in MERGER.ids_many(raw)] == [MERGER.ids(w) for w in raw]
