@@ -100,10 +100,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns. Of rows that share id and text one stays; rows without an id stay."""
     found = Table(exact_dedup(docs, id_col, text_col), "dedup-found").df
-    gone = found.where("not kept").select(F.col(id_col).alias("gone_")).distinct()
-    out = docs.join(bounded(Table(gone, "dedup-gone").df), docs[id_col] == F.col("gone_"), "left_anti")
-    twice = Table(found.where("kept").groupBy(F.col(id_col).alias("twice_")).count().where("count > 1 and twice_ is not null").select("twice_"), "dedup-twice").df
+    own = (docs[id_col] == F.col("id_")) & (F.sha2(normalised(text_col), 256) == F.col("sha_"))
+    keys = [F.col(id_col).alias("id_"), F.col("text_sha256").alias("sha_")]
+    gone = found.where("not kept").select(*keys).distinct()
+    out = docs.join(bounded(Table(gone, "dedup-gone").df), own, "left_anti")
+    twice = Table(found.where("kept").groupBy(*keys).count().where("count > 1 and id_ is not null").select("id_", "sha_"), "dedup-twice").df
     if twice.isEmpty():
         return out
-    again = out.join(twice, out[id_col] == F.col("twice_"), "left_semi").dropDuplicates([id_col, text_col])
-    return out.join(twice, out[id_col] == F.col("twice_"), "left_anti").unionByName(again)
+    again = out.join(twice, own, "left_semi").withColumn("sha_", F.sha2(normalised(text_col), 256)).dropDuplicates([id_col, "sha_"]).drop("sha_")
+    return out.join(twice, own, "left_anti").unionByName(again)

@@ -134,7 +134,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component the document with the smallest id, with all its columns; rows without an id stay."""
+    """Of each component the document with the smallest id, with all its columns; rows of one id go or stay together, rows without one stay."""
     found = near_duplicates(docs, id_col, text_col)
     gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone_")).distinct()
     return docs.join(bounded(Table(gone, "near-gone").df), docs[id_col] == F.col("gone_"), "left_anti")
