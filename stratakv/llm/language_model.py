@@ -2,15 +2,16 @@
 
 Every class of a preceding word is a context restaurant, and all of them share the root restaurant as their parent.
 Texts are read once. A task turns its documents into blocks of bounded size: the tokens as numbers of (word, context)
-pairs, and a row for each distinct word with its counts by context. Only the word rows are dealt out by word. There a
-word's counts from all blocks meet, its seating is sampled given the sizes of the restaurants, and the averaged
-predictive probability of each pair goes back to the blocks that asked for it. No table of all words is ever in one
-place, and what is gathered grows with the corpus.
+pairs, and the distinct words with their counts by context, packed by bucket of the word's hash. Only these are dealt
+out. In a bucket a word's counts from all blocks meet, its seating is sampled given the sizes of the restaurants, and
+the averaged predictive probability of each pair goes back to the blocks that asked for it. No table of all words is
+ever in one place, and what is gathered grows with the corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -32,12 +33,12 @@ BURN_IN, SAMPLES = 2, 2
 STRENGTH = 1.0
 #: Customers of a dish that are seated one by one; the rest in stretches of an eighth of those seated.
 ONE_BY_ONE = 32
-#: Rows of words that a task works on at a time.
-WORD_ROWS = 60_000
+#: Bytes of text a bucket of words; a bucket's words are in one task's memory together.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 1 << 20, 64, 1 << 16
 
 #: Words are known by their XXH64; two of V words share one with probability V^2 / 2^65. No word holds a line feed.
 END = xxhash.xxh64_intdigest(b"\n", 0)
-PAIR = np.dtype([("u", "u1"), ("n", "<u4")])
+_DOCS = pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())]))
 
 
 def context_of(word: bytes) -> int:
@@ -68,8 +69,8 @@ class Block:
     def full(self) -> bool:
         return self.size >= BLOCK_TOKENS or len(self.place) >= BLOCK_WORDS
 
-    def rows(self, number: int) -> Iterator[pa.RecordBatch]:
-        """A row a word: its counts by context in training documents, and all contexts it has here; then the block itself."""
+    def rows(self, number: int, buckets: int) -> Iterator[pa.RecordBatch]:
+        """Its words by bucket, with their counts by context in training documents, then its documents and tokens."""
         words = list(self.place)
         cls = np.fromiter(map(context_of, words), np.int64, len(words))
         lens = np.array([n for _, n, _ in self.docs])
@@ -78,30 +79,55 @@ class Block:
         before[1:] = cls[ids[:-1]]
         before[np.concatenate([[0], np.cumsum(lens)[:-1]])] = 0
         codes, pair = np.unique(ids * CONTEXTS + before, return_inverse=True)
+        pair = pair.ravel()
         train = np.repeat(np.array([not h for _, _, h in self.docs]), lens)
-        counts = np.bincount(pair.ravel()[train], minlength=len(codes))
-        packed = np.empty(len(codes), PAIR)
-        packed["u"], packed["n"] = codes % CONTEXTS, counts
-        word_of = codes // CONTEXTS
-        per_word = np.bincount(word_of, minlength=len(words))
-        ends = np.concatenate([[0], np.cumsum(per_word) * PAIR.itemsize]).astype(np.int32)
-        hashes = np.array([END, *(xxhash.xxh64_intdigest(w, 0) for w in words[1:])], np.uint64).view(np.int64)
-        data = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(ends), pa.py_buffer(packed.tobytes())])
-        block = pa.array(np.full(len(words), number, np.int64))
-        yield _batch(block, pa.array(np.arange(len(words), dtype=np.int32)), pa.array(hashes), data, pa.nulls(len(words), pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())]))))
-        blob = zstandard.ZstdCompressor(level=1).compress(np.concatenate([[len(codes)], word_of, pair.ravel()]).astype("<u4").tobytes())
-        docs = pa.array([[{"id": d, "n": n} for d, n, _ in self.docs]], pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())])))
-        yield _batch(pa.array([number], pa.int64()), pa.array([-1], pa.int32()), pa.array([0], pa.int64()), pa.array([blob], pa.binary()), docs)
-
-
-BLOCK_ROWS = "block long, place int, word long, data binary, docs array<struct<id: long, n: long>>"
+        counts = np.bincount(pair[train], minlength=len(codes))
+        asked = np.bincount(codes // CONTEXTS, minlength=len(words))
+        hashes = np.array([END, *(xxhash.xxh64_intdigest(w, 0) for w in words[1:])], np.uint64)
+        bucket = hashes % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+        data = [pack(hashes[o], o, asked[o], codes[at := spread(asked, o)] % CONTEXTS, counts[at]) for o in np.split(order, cuts)]
+        which = bucket[order][np.concatenate([[0], cuts])].astype(np.int32)
+        yield _batch(np.full(len(which), number, np.int64), which, data, [None] * len(which))
+        yield _batch(np.array([number]), np.array([-1], np.int32), [pack(asked, pair)], [[{"id": d, "n": n} for d, n, _ in self.docs]])
+
+
+BLOCK_ROWS = "block long, bucket int, data binary, docs array<struct<id: long, n: long>>"
+
+
+def _batch(block: np.ndarray, bucket: np.ndarray, data: list[bytes], docs: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(block), pa.array(bucket), pa.array(data, pa.binary()), pa.array(docs, _DOCS)], names=["block", "bucket", "data", "docs"])
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays in one compressed binary, each after its kind and length; whole numbers in as few bytes as they need."""
+    out = []
+    for a in arrays:
+        if a.dtype.kind in "iu":
+            top = int(a.max()) if len(a) else 0
+            a = a.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8")
+        out += [a.dtype.str.encode(), len(a).to_bytes(8, "little"), a.tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
+    while at < len(raw):
+        kind, n = np.dtype(raw[at : at + 3].decode()), int.from_bytes(raw[at + 3 : at + 11], "little")
+        out.append(np.frombuffer(raw, kind, n, at + 11))
+        at += 11 + n * kind.itemsize
+    return out
 
 
-def _batch(*columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(list(columns), names=["block", "place", "word", "data", "docs"])
+def spread(lens: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Places of the items of the runs `order`, where run k has lens[k] items and runs lie one after another."""
+    starts = np.cumsum(lens) - lens
+    own = lens[order]
+    return np.repeat(starts[order] - (np.cumsum(own) - own), own) + np.arange(own.sum())
 
 
-def blocks(docs: DataFrame, id_col: str, text_col: str, held_out: tuple[int, int]) -> DataFrame:
+def blocks(docs: DataFrame, id_col: str, text_col: str, held_out: tuple[int, int], buckets: int) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), (remainder(id_col, held_out[0]) == held_out[1]).alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,10 +136,10 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, held_out: tuple[int, int
             for doc_id, text, held in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 block.add(doc_id, text, held)
                 if block.full():
-                    yield from block.rows(number)
+                    yield from block.rows(number, buckets)
                     number, block = number + 1, Block()
         if block.docs:
-            yield from block.rows(number)
+            yield from block.rows(number, buckets)
 
     return rows.mapInArrow(run, BLOCK_ROWS)
 
@@ -153,22 +179,21 @@ class Sizes:
 
 
 class Words:
-    """Counts of some words by context, from all blocks, and the pairs that each row asks for."""
-
-    def __init__(self, word: np.ndarray, data: pa.Array):
-        first = np.concatenate([[True], word[1:] != word[:-1]])
-        self.names = word[first]
-        of_row = np.cumsum(first) - 1
-        ends = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]
-        flat = np.frombuffer(data.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(PAIR)
-        self.asked = np.diff(ends) // PAIR.itemsize
-        codes, self.pair = np.unique(np.repeat(of_row, self.asked) * CONTEXTS + flat["u"], return_inverse=True)
+    """Counts of a bucket's words by context, from all blocks, and the pairs that each block asks for."""
+
+    def __init__(self, packed: list[bytes]):
+        parts = [unpack(x) for x in packed]
+        word, self.place, self.asked, u, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.asked, self.rows = self.asked.astype(np.int64), np.array([len(x[0]) for x in parts])
+        self.names, self.of_row = np.unique(word.astype(np.uint64), return_inverse=True)
+        self.of_row = self.of_row.ravel()
+        codes, self.pair = np.unique(np.repeat(self.of_row, self.asked) * CONTEXTS + u, return_inverse=True)
         self.pair = self.pair.ravel()
-        self.of_row, self.of, self.u = of_row, codes // CONTEXTS, codes % CONTEXTS
-        self.n = np.bincount(self.pair, flat["n"], len(codes)).astype(np.int64)
+        self.of, self.u = codes // CONTEXTS, codes % CONTEXTS
+        self.n = np.bincount(self.pair, n, len(codes)).astype(np.int64)
         self.total = np.bincount(self.of, self.n, len(self.names)).astype(np.int64)
         with np.errstate(over="ignore"):
-            self.key = self.names.view(np.uint64)[self.of] ^ (self.u.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+            self.key = self.names[self.of] ^ (self.u.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
 
     def start(self) -> tuple[np.ndarray, np.ndarray]:
         return np.minimum(self.n, 1).astype(float), np.minimum(self.total, 1).astype(float)
@@ -181,7 +206,7 @@ class Words:
         t = seat(self.n, a, s.d1, self.key, 2 * k)
         c0 = np.bincount(self.of, t, len(self.names)).astype(np.int64)
         a0 = (STRENGTH + s.d0 * np.maximum(s.root_tables - t0, 0)) / (s.words + 1)
-        return t, seat(c0, a0, s.d0, self.names.view(np.uint64), 2 * k + 1)
+        return t, seat(c0, a0, s.d0, self.names, 2 * k + 1)
 
     def seatings(self, s: Sizes, sweeps: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         t, t0 = self.start()
@@ -190,42 +215,26 @@ class Words:
             yield t, t0
 
 
-def _over_words(rows: DataFrame, work: Callable[[Words, pa.Table], pa.RecordBatch | None], schema: str, done: Callable[[], list[pa.RecordBatch]] = lambda: []) -> DataFrame:
-    """`work` on whole words; rows must be dealt out and sorted by word."""
+def _over_words(rows: DataFrame, work: Callable[[Words, list[int]], pa.RecordBatch | None], schema: str, done: Callable[[], list[pa.RecordBatch]] = lambda: []) -> DataFrame:
+    """`work` on a bucket's words and the numbers of their blocks; rows must be dealt out and sorted by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for b in batches:
-            held.append(b)
-            n += b.num_rows
-            if n < WORD_ROWS:
-                continue
-            t = pa.Table.from_batches(held).combine_chunks()
-            word = t["word"].to_numpy()
-            cut = int(np.searchsorted(word, word[-1]))  # the last word may go on
-            if cut:
-                yield from _worked(t.slice(0, cut), work)
-            held, n = t.slice(cut).to_batches(), (t.num_rows - cut) % WORD_ROWS
-        if held:
-            yield from _worked(pa.Table.from_batches(held), work)
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for _, own in groupby(rows, key=lambda r: r[0]):
+            _, block, data = zip(*own, strict=True)
+            out = work(Words(list(data)), list(block))
+            if out is not None:
+                yield out
         yield from done()
 
     return rows.mapInArrow(run, schema)
 
 
-def _worked(t: pa.Table, work) -> Iterator[pa.RecordBatch]:
-    if t.num_rows:
-        t = t.combine_chunks()
-        out = work(Words(t["word"].to_numpy(), t["data"].chunk(0)), t)
-        if out is not None:
-            yield out
-
-
 def _totals(rows: DataFrame, values: Callable[[Words], np.ndarray]) -> np.ndarray:
     """The sum of a short vector over all words."""
     sums: list = []
 
-    def work(w: Words, t: pa.Table) -> None:
+    def work(w: Words, blocks_: list[int]) -> None:
         sums.append(values(w))
 
     def done() -> list[pa.RecordBatch]:
@@ -248,9 +257,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     If there is nothing to learn from, all scores are 0. Repeated rows are scored each. No rows in, no rows out.
     """
     small_batches(docs.sparkSession)
-    made = Table(blocks(docs, id_col, text_col, held_out), "lm-blocks").df
-    words = made.where("place >= 0").select("word", "block", "place", "data")
-    words = words.repartition("word").sortWithinPartitions("word").persist(StorageLevel.DISK_ONLY)
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    buckets = min(max(size // BUCKET_BYTES, LEAST_BUCKETS), MOST_BUCKETS)
+    made = Table(blocks(docs, id_col, text_col, held_out, buckets), "lm-blocks").df
+    words = made.where("bucket >= 0").select("bucket", "block", "data")
+    words = words.repartition("bucket").sortWithinPartitions("bucket", "block").persist(StorageLevel.DISK_ONLY)
 
     C = CONTEXTS
 
@@ -278,27 +289,31 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     sizes = resized(sizes, BURN_IN, 1)[0]
     samples = resized(sizes, BURN_IN + SAMPLES, SAMPLES)
 
-    def answer(w: Words, t: pa.Table) -> pa.RecordBatch:
+    def answer(w: Words, blocks_: list[int]) -> pa.RecordBatch:
         p = np.zeros(len(w.n))
         for s, (seated, t0) in zip(samples, list(w.seatings(sizes, BURN_IN + SAMPLES))[-SAMPLES:], strict=True):
             root = s.root(np.bincount(w.of, seated, len(w.names)), t0)[w.of]
             rest = (STRENGTH + s.d1 * s.tables[w.u]) * root
             p += (np.maximum(w.n - s.d1 * seated, 0) + rest) / (STRENGTH + s.customers[w.u]) / SAMPLES
         logs = np.log10(np.maximum(p, 1e-300))[w.pair].astype("<f4")
-        ends = np.concatenate([[0], np.cumsum(w.asked) * 4]).astype(np.int32)
-        data = pa.Array.from_buffers(pa.binary(), t.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(logs.tobytes())])
-        return pa.RecordBatch.from_arrays([t["block"].chunk(0), t["place"].chunk(0), pa.array(w.total[w.of_row]), data], names=["block", "place", "n", "logs"])
+        ends = np.cumsum(w.rows)[:-1]
+        pairs = np.cumsum(np.add.reduceat(w.asked, np.concatenate([[0], ends])))[:-1]
+        parts = zip(np.split(w.place, ends), np.split(w.total[w.of_row], ends), np.split(logs, pairs), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(blocks_, pa.int64()), pa.array([pack(*x) for x in parts], pa.binary())], names=["block", "data"])
 
-    answers = _over_words(words, answer, "block long, place int, n long, logs binary")
-    texts = made.where("place < 0").select("block", "data", "docs")
+    answers = _over_words(words, answer, "block long, data binary")
+    texts = made.where("bucket < 0").select("block", "data", "docs")
     least = float(np.log10(tokens + types + 1))
 
     def scored(text: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        found = found.sort_values("place")
-        logs, n = np.frombuffer(b"".join(found["logs"]), "<f4").astype(float), found["n"].to_numpy()
-        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(text["data"].iloc[0]), "<u4")
-        pairs = int(raw[0])
-        word, token = raw[1 : 1 + pairs], raw[1 + pairs :]
+        asked, token = unpack(text["data"].iloc[0])
+        asked = asked.astype(np.int64)
+        place, count, log = (np.concatenate(x) for x in zip(*map(unpack, found["data"]), strict=True))
+        place = place.astype(np.int64)
+        logs, n = np.empty(len(log)), np.empty(len(place))
+        logs[spread(asked, place)] = log
+        n[place] = count
+        word = np.repeat(np.arange(len(asked)), asked)
         own = text["docs"].iloc[0]
         lens = np.array([d["n"] for d in own])
         at = np.concatenate([[0], np.cumsum(lens)[:-1]])
