@@ -88,7 +88,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that the mix takes, with all their columns, whole, and as many times as it takes them."""
+    """The documents that the mix takes, with all their columns, whole, and as many times as it takes them; rows of one id alike."""
     taken = mix(docs, id_col=id_col, whole=True, **options).where("taken > 0")
     times = taken.groupBy(F.col(id_col).alias("taken_id")).agg(F.max(F.floor(F.col("taken") / F.col("size"))).cast("int").alias("times_"))
     times = bounded(Table(times, "mix-times").df)
