@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import map_text, remainder
 
 #: The classifiers are fitted on about this many labelled rows a language, chosen by hash, of at most so many bytes each.
-SAMPLE_PER_LANGUAGE = 900
+SAMPLE_PER_LANGUAGE = 600
 SAMPLE_TEXT_BYTES = 100_000
 #: Languages that can be told apart at most; the codebook and the sample grow with them.
 MAX_LANGUAGES = 200
@@ -81,15 +81,15 @@ class Model:
         if len(names) < 2:
             return cls(names, code, np.zeros((BUCKETS, 1), np.float32), np.ones(1, np.float32), np.ones(1))
         rng = np.random.default_rng(seed)
-        x, y = [], []
+        x, y = np.empty((2 * len(texts), BUCKETS), np.float32), []  # filled in place: it is the driver's largest array
         for t, g in zip(texts, langs, strict=True):
             n = int(rng.integers(12, 90))
             at = int(rng.integers(0, max(1, len(t) - n)))
             for s in (t, t[at : at + n]):
                 if LETTER.search(s):
-                    x.append(frequencies(s))
+                    np.sqrt(frequencies(s), out=x[len(y)])
                     y.append(names.index(g))
-        x, y = np.sqrt(np.stack(x)), code[np.array(y)].astype(np.float32)
+        x, y = x[: len(y)], code[np.array(y, int)].astype(np.float32)
         apart = rng.random(len(x)) < 0.1
         w, b = np.zeros((BUCKETS, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
         g2 = np.full_like(w, 1e-6)
