@@ -355,14 +355,14 @@ def _(spark, d):
 
 
 def _read_ranges(spark, d):
-    own = a.txn_ops(spark, d).where((F.col("op") == "R") & (F.col("txn_id") < SLICE)).groupBy("txn_id").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
+    own = a.txn_ops(spark, d).where(F.col("op") == "R").groupBy("txn_id").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
     return own.withColumn("lo_inc", F.lit(True)).withColumn("hi_inc", F.lit(False))
 
 
 @query("ssi_phantoms", "txns ops ser seen", f"select distinct r.txn_id, o.txn_id as other_id from (select txn_id, min(k) as lo, max(k) as hi from ops where op = 'R' and txn_id < {SLICE} group by txn_id) r join ser m using (txn_id) join seen o on o.op = 'W' and o.k >= r.lo and o.k < r.hi and r.txn_id <> o.txn_id and (o.commit_ts, o.txn_id) < (m.commit_ts, m.txn_id) and o.commit_ts > m.start_ts and o.start_ts < m.commit_ts")
 def _(spark, d):
     ops, txns = _serializable(spark, d)
-    return transactions.phantoms(_read_ranges(spark, d), ops, txns, 256)
+    return transactions.phantoms(_read_ranges(spark, d).where(F.col("txn_id") < SLICE), ops, txns, 256)
 
 
 @query("ssi_dangerous", "txns ops ser seen inb outb dang", "select txn_id from dang")
