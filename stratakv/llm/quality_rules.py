@@ -40,13 +40,16 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
 SKETCH_ERROR = 0.01
 _BASE = (1 + SKETCH_ERROR) / (1 - SKETCH_ERROR)
 _ZERO = -1_000_000
-#: Measures by name: numerator, denominator and the least distance of a fence from its quartile.
+#: Measures by name: numerator, denominator and the quantile that an upper fence is never below. Where most documents have
+#: none of a thing the quartiles are zero, and this quantile is the fence; up to a tenth of a group may be made of symbols.
 RATIOS = {
-    "word_length": ("word_chars", "n_words", 1.3),
-    "symbols": ("n_symbols", "n_words", 0.1),
-    "dup_lines": ("n_dup_lines", "n_lines", 0.4),
-    "repeats": ("n_repeat_words", "n_words", 0.4),
+    "word_length": ("word_chars", "n_words", 0.75),
+    "symbols": ("n_symbols", "n_words", 0.9),
+    "dup_lines": ("n_dup_lines", "n_lines", 0.99),
+    "repeats": ("n_repeat_words", "n_words", 0.99),
 }
+#: A fence's share that is left for the sketch's error.
+GUARD = 2 * SKETCH_ERROR
 #: Fences stand this many interquartile ranges from the quartiles.
 RANGES = 6.0
 #: A language and source with fewer documents uses its language's sketch, and a language with fewer the sketch of all.
@@ -98,7 +101,8 @@ def fences(found: DataFrame) -> DataFrame:
     passed = found.where("not base_failed")
     values = passed.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(n).alias("what"), _ratio(n).alias("x")) for n in RATIOS])).alias("v")).select("lang", "source", "v.*")
     own = Table(sketch(values, ["lang", "source", "what"]), "sketches").df
-    at = {"q1": 0.25, "q3": 0.75}
+    tails = {n: f"q{round(100 * q)}" for n, (_, _, q) in RATIOS.items()}
+    at = {"q1": 0.25, "q3": 0.75} | {tails[n]: q for n, (_, _, q) in RATIOS.items()}
     levels = [
         quantiles(own, ["lang", "source", "what"], at),
         quantiles(merged(own, ["lang", "what"]), ["lang", "what"], at),
@@ -107,10 +111,10 @@ def fences(found: DataFrame) -> DataFrame:
     a, b, c = (q.withColumnsRenamed({n: f"{n}_{k}" for n in q.columns}) for k, q in zip("abc", levels, strict=True))
     t = a.join(b, F.col("lang_a").eqNullSafe(F.col("lang_b")) & (F.col("what_a") == F.col("what_b"))).join(F.broadcast(c), F.col("what_a") == F.col("what_c"))
     pick = lambda q: F.when(F.col("docs_a") >= LEAST_DOCS, F.col(f"{q}_a")).when(F.col("docs_b") >= LEAST_DOCS, F.col(f"{q}_b")).otherwise(F.col(f"{q}_c"))
-    slack = F.element_at(F.create_map(*[F.lit(x) for n, (_, _, s) in RATIOS.items() for x in (n, s)]), F.col("what_a"))
-    t = t.select(F.col("lang_a").alias("of_lang"), F.col("source_a").alias("of_source"), F.col("what_a").alias("what"), pick("q1").alias("q1"), pick("q3").alias("q3"), slack.alias("slack"))
-    room = F.greatest(F.col("slack"), RANGES * (F.col("q3") - F.col("q1")))
-    t = t.withColumn("low", F.col("q1") - room).withColumn("high", F.col("q3") + room)
+    tail = F.coalesce(*[F.when(F.col("what_a") == n, pick(q)) for n, q in tails.items()])
+    t = t.select(F.col("lang_a").alias("of_lang"), F.col("source_a").alias("of_source"), F.col("what_a").alias("what"), pick("q1").alias("q1"), pick("q3").alias("q3"), tail.alias("tail"))
+    room = RANGES * (F.col("q3") - F.col("q1"))
+    t = t.withColumn("low", (F.col("q1") - room) * (1 - GUARD)).withColumn("high", F.greatest(F.col("q3") + room, F.col("tail")) * (1 + GUARD))
     of = lambda n, c: F.max(F.when(F.col("what") == n, F.col(c))).alias(f"{n}_{c}")
     return t.groupBy("of_lang", "of_source").agg(*[of(n, c) for n in RATIOS for c in ("low", "high")])
 
