@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, map_text
+from .common import labelled_sample, map_text, small_batches
 
 #: Rows of the word table (words are hashed to rows) and the length of a vector.
 ROWS, DIM = 1 << 15, 32
@@ -54,6 +55,57 @@ def index_vectors(seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, DIM, (ROWS, NONZERO)), rng.choice(np.array([-1.0, 1.0]), (ROWS, NONZERO))
 
 
+class Sums:
+    """For each row of the word table the sum of its neighbours' index vectors, over all texts added; whole numbers."""
+
+    def __init__(self):
+        self.places, self.signs = index_vectors()
+        self.total, self.know = np.zeros(ROWS * DIM), Words()
+        self.word, self.near, self.held = [], [], 0
+
+    def add(self, text: str | None) -> None:
+        words = (text or "").encode("utf-8", "replace").split()
+        for at in range(0, len(words), BLOCK):
+            ids = self.know.rows(words[at : at + BLOCK + WINDOW])[:, 0]  # the next block's first words are neighbours too
+            for k in range(1, WINDOW + 1):
+                a = ids[: min(BLOCK, max(0, len(ids) - k))]
+                b = ids[k : k + len(a)]
+                self.word += [a, b]
+                self.near += [b, a]
+            self.held += len(ids)
+            if self.held >= 4 * BLOCK:
+                self.flush()
+
+    def flush(self) -> None:
+        if self.word:
+            word, near = np.concatenate(self.word) * DIM, np.concatenate(self.near)
+            for k in range(NONZERO):
+                self.total += np.bincount(word + self.places[near, k], self.signs[near, k], ROWS * DIM)
+        self.word, self.near, self.held = [], [], 0
+
+
+def corpus_sums(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """The sums over all whole documents, labelled or not: each task sends its rows once, and they are added up by row."""
+    names = [f"v{k}" for k in range(DIM)]
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        sums = Sums()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                sums.add(t)
+        sums.flush()
+        total = sums.total.astype(np.int64).reshape(ROWS, DIM)
+        some = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(total[some, k]) for k in range(DIM)]], names=["row", *names])
+
+    parts = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, ", ".join(f"{n} long" for n in ["row", *names]))
+    found = parts.groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+    total = np.zeros((ROWS, DIM))
+    total[found.column("row").to_numpy()] = np.stack([found.column(n).to_numpy() for n in names], axis=1)
+    return total
+
+
 class Vectors:
     """A word's vector is the sum of the index vectors of its neighbours, at unit length; rare ones are shorter."""
 
@@ -61,21 +113,9 @@ class Vectors:
         self.words, self.index = words, index
 
     @classmethod
-    def fit(cls, texts: list[str]) -> Vectors:
+    def of(cls, total: np.ndarray) -> Vectors:
+        """total: the sums of `Sums`, over all documents."""
         places, signs = index_vectors()
-        total = np.zeros(ROWS * DIM)
-        know = Words()
-        for at in range(0, len(texts), 100):
-            word, near = [], []
-            for t in texts[at : at + 100]:
-                ids = know.rows(t.encode("utf-8", "replace").split())[:, 0]
-                for k in range(1, WINDOW + 1):
-                    word += [ids[:-k], ids[k:]]
-                    near += [ids[k:], ids[:-k]]
-            word, near = np.concatenate(word), np.concatenate(near)
-            for k in range(NONZERO):
-                total += np.bincount(word * DIM + places[near, k], signs[near, k], ROWS * DIM)
-        total = total.reshape(ROWS, DIM)
         each = (np.arange(ROWS)[:, None] * DIM + places).ravel()
         index = np.bincount(each, signs.ravel(), ROWS * DIM).reshape(ROWS, DIM)
         return cls((total / (np.linalg.norm(total, axis=1, keepdims=True) + 4)).astype(np.float32), (index / np.sqrt(NONZERO)).astype(np.float32))
@@ -145,11 +185,12 @@ class Model:
         self.vectors, self.network, self.prior = vectors, network, prior
 
     @classmethod
-    def fit(cls, sample: list[tuple[str, int]]) -> Model:
+    def fit(cls, sample: list[tuple[str, int]], sums: Callable[[], np.ndarray]) -> Model:
+        """`sums` gives the corpus's sums; it is asked only if there are two classes to tell apart."""
         y = np.array([b for _, b in sample], float)
         if len(set(y.tolist())) < 2:
             return cls(None, None, float(y.mean()) if len(y) else 0.5)
-        vectors, know = Vectors.fit([t for t, _ in sample]), Words()
+        vectors, know = Vectors.of(sums()), Words()
         x = np.stack([vectors.pool(t, know) for t, _ in sample]).astype(float)
         return cls(vectors, Network.fit(x, y), float(y.mean()))
 
@@ -160,7 +201,8 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: tuple[int, int] = (5, 0)) -> Model:
-    return Model.fit(labelled_sample(docs, labels, label_col, *held_out, id_col=id_col, text_col=text_col))
+    """Word vectors from all documents; the network from a sample of the labelled ones."""
+    return Model.fit(labelled_sample(docs, labels, label_col, *held_out, id_col=id_col, text_col=text_col), lambda: corpus_sums(docs, text_col))
 
 
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
