@@ -68,10 +68,13 @@ def codebook(k: int, seed: int = 7) -> np.ndarray:
 
 
 class Model:
-    """A logistic classifier a bit of the codewords; `weights` of bits come from rows that were left out of the fit."""
+    """A logistic classifier a bit of the codewords; `weights` of bits come from rows that were left out of the fit.
 
-    def __init__(self, languages: list[str], code: np.ndarray, w: np.ndarray, b: np.ndarray, weights: np.ndarray):
-        self.languages, self.code, self.w, self.b, self.weights = languages, code, w, b, weights
+    `limit` is how far from its nearest codeword the farthest labelled text is, short stretches included.
+    """
+
+    def __init__(self, languages: list[str], code: np.ndarray, w: np.ndarray, b: np.ndarray, weights: np.ndarray, limit: float = np.inf):
+        self.languages, self.code, self.w, self.b, self.weights, self.limit = languages, code, w, b, weights, limit
 
     @classmethod
     def fit(cls, texts: list[str], langs: list[str], seed: int = 11, epochs: int = 12, rate: float = 0.5) -> Model:
@@ -108,21 +111,32 @@ class Model:
             weights = np.maximum(right - 0.5, 0.02)
         else:
             weights = np.ones(code.shape[1])
-        return cls(names, code, w, b, weights / weights.sum())
+        out = cls(names, code, w, b, weights / weights.sum())
+        out.limit = max((float(out.losses(a).min()) for a in x), default=np.inf)
+        return out
+
+    def losses(self, x: np.ndarray) -> np.ndarray:
+        """Distance of a text, as roots of its frequencies, from each codeword."""
+        return np.logaddexp(0, -(x @ self.w + self.b)[None, :] * self.code) @ self.weights
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and whether the two nearest codewords are about as near."""
-        if not text or not self.languages or not LETTER.search(text):
-            return "und", 0.0, False
-        f = np.sqrt(frequencies(text)) @ self.w + self.b
-        loss = np.logaddexp(0, -f[None, :] * self.code) @ self.weights
+        return self.judge(text)[:3]
+
+    def judge(self, text: str | None) -> tuple[str, float, bool, bool]:
+        """Also whether the text is accepted: it has a letter, and is no farther from a codeword than what was learned from."""
+        if not text or not LETTER.search(text):
+            return "und", 0.0, False, False
+        if not self.languages:
+            return "und", 0.0, False, True
+        loss = self.losses(np.sqrt(frequencies(text)))
         p = np.exp(-(loss - loss.min()) * 4)
         p /= p.sum()
         best = int(np.argmin(loss))
         if len(loss) == 1:
-            return self.languages[0], 1.0, False
+            return self.languages[0], 1.0, False, True
         first, second = np.partition(loss, 1)[:2]
-        return self.languages[best], float(p[best]), bool(second - first < MARGIN * (first + second))
+        return self.languages[best], float(p[best]), bool(second - first < MARGIN * (first + second)), bool(first <= self.limit * (1 + 1e-5))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: tuple[int, int] = (4, 2)) -> Model:
@@ -141,9 +155,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row a document: id (and the columns of `keep`, which must have other names), lang_pred, score, ambiguous.
+    """One row a document: id (and the columns of `keep`, which must have other names), lang_pred, score, ambiguous, accepted.
 
-    Texts that are null or have no letter are `und` with score 0; so is all if nothing was learned.
+    Texts that are null or have no letter are `und` with score 0; so is all if nothing was learned. Accepted is a text
+    with a letter that is not too far from all codewords; where nothing was learned, any text with a letter.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows of a float a bit
 
@@ -151,9 +166,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         m = sent.value
 
         def run(texts):
-            out = [m.predict(t) for t in texts]
-            return [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], pa.bool_())]
+            out = [m.judge(t) for t in texts]
+            return [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], pa.bool_()), pa.array([o[3] for o in out], pa.bool_())]
 
         return run
 
-    return map_text(docs, [id_col, *keep], text_col, start, "lang_pred string, score double, ambiguous boolean")
+    return map_text(docs, [id_col, *keep], text_col, start, "lang_pred string, score double, ambiguous boolean, accepted boolean")
