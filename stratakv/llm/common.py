@@ -71,6 +71,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return Table(df, tag).df
 
 
+def text_hash(text: str | Column) -> Column:
+    """Tells rows of one id apart; never null."""
+    return F.xxhash64((F.col(text) if isinstance(text, str) else text).cast("string"))
+
+
 def remainder(id_col: str, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; -1 for a null id, which so counts as a training row."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % mod, F.lit(-1))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Table, bounded
+from .common import WORD, Table, bounded, text_hash
 
 #: Rows that a range slice of a source holds on average; only a source's cut slice is sorted.
 SLICE_ROWS = 20_000
@@ -48,15 +48,15 @@ def targets(sizes: DataFrame, weights: Sequence[int], epochs: int) -> DataFrame:
     return t.select("source", "rank", "source_size", "n", target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (1, 2, 3), epochs: int = 3, seed: str = "mix", whole: bool = False) -> DataFrame:
-    """One row a document: id, size, source, source_size, target, taken (words the mix takes, repeats counted).
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (1, 2, 3), epochs: int = 3, seed: str = "mix", whole: bool = False, hashed: bool = False) -> DataFrame:
+    """One row a document: id, size, source, source_size, target, taken (words the mix takes, repeats counted); if `hashed`, text_hash.
 
     A budget of e whole epochs and a rest takes each document e times and, in the order of the random key, once more
     while the rest lasts; the document at the cut gives just the words that are left. With `whole` it counts in full
     if at least half of it fits, else not at all. Rows without words take nothing; ties of the key fall to id, then
     size. A null source is a source of its own. No rows in, no rows out.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"), *[text_hash(text_col).alias("text_hash")] * hashed)
     rows = Table(rows.withColumn("key", random_key("doc_id", seed)), "mix-rows").df
     plan = Table(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, epochs), "mix-sources").df
     few = plan.count() <= BROADCAST_SOURCES
@@ -74,7 +74,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cut = Table(cut, "mix-cuts").df
 
     placed = sliced.join(small(cut), F.col("rank") == F.col("cut_rank"), "left")
-    out = ["doc_id", "size", "source", "source_size", "target"]
+    out = ["doc_id", "size", "source", "source_size", "target", *["text_hash"] * hashed]
     outside = placed.where(~F.col("slice").eqNullSafe(F.col("cut_slice")))
     outside = outside.select(*out, (F.col("turns") * F.col("size") + F.when(F.col("slice") < F.col("cut_slice"), F.col("size")).otherwise(0)).alias("taken"))
     inside = placed.where(F.col("slice") == F.col("cut_slice"))
@@ -87,10 +87,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return outside.unionByName(inside).withColumnsRenamed({"doc_id": id_col, "source": source_col})
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that the mix takes, with all their columns, whole, and as many times as it takes them; rows of one id alike."""
-    taken = mix(docs, id_col=id_col, whole=True, **options).where("taken > 0")
-    times = taken.groupBy(F.col(id_col).alias("taken_id")).agg(F.max(F.floor(F.col("taken") / F.col("size"))).cast("int").alias("times_"))
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The documents that the mix takes, with all their columns, whole, and as many times as it takes them; rows of one id, source and text alike."""
+    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, whole=True, hashed=True, **options).where("taken > 0")
+    keys = [F.col(id_col).alias("taken_id"), F.col(source_col).alias("taken_source"), F.col("text_hash").alias("taken_hash")]
+    times = taken.groupBy(*keys).agg(F.max(F.floor(F.col("taken") / F.col("size"))).cast("int").alias("times_"))
     times = bounded(Table(times, "mix-times").df)
-    joined = docs.join(times, docs[id_col] == F.col("taken_id"))
+    same = docs[id_col].eqNullSafe(F.col("taken_id")) & docs[source_col].cast("string").eqNullSafe(F.col("taken_source")) & (text_hash(docs[text_col]) == F.col("taken_hash"))
+    joined = docs.join(times, same)
     return joined.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("times_")))).select(*[docs[c] for c in docs.columns])

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Table, bounded, lookup, map_text
+from .common import Table, bounded, lookup, map_text, text_hash
 from .components import connected_components
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 4, 4, 42
@@ -40,13 +40,13 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, `keep`, fp): the fingerprint of every whole text as a signed long."""
 
     def start():
         return lambda texts: [pa.array(np.array([fingerprint(t) for t in texts], np.uint64).astype(np.int64))]
 
-    return map_text(docs, [id_col], text_col, start, "fp long").withColumnRenamed(id_col, "doc_id")
+    return map_text(docs, [id_col, *keep], text_col, start, "fp long").withColumnRenamed(id_col, "doc_id")
 
 
 def segments(n: int) -> list[int]:
@@ -113,14 +113,14 @@ def links(fps: DataFrame, count: int) -> DataFrame:
     return found.unionByName(rest.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, fingerprint (16 hex digits), component_id (smallest id reachable over links).
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row a document: id, fingerprint (16 hex digits), component_id (smallest id reachable over links), and `keep`.
 
     Texts without words, and null ones, have fingerprint zero, and link like any other. Fewer words than a shingle
     make one shingle. Rows with equal fingerprints are one node, however many; a null id is never a component's id
     unless its component has no other. No rows in, no rows out.
     """
-    found = Table(fingerprints(docs, id_col, text_col), "fingerprints").df
+    found = Table(fingerprints(docs, id_col, text_col, keep), "fingerprints").df
     nodes = Table(found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes").df
     total, count = found.count(), nodes.count()
     roots = Table(connected_components(links(nodes, count)), "roots").df
@@ -130,11 +130,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = rooted.join(least, F.col("root") == F.col("of"), "left").select("fp", "n", F.coalesce("least", "first").alias("component_id"))
     placed = Table(placed, "placed").df
     out = lookup(found, placed, ["fp"], "n", total)
-    return out.select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *keep)
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component the document with the smallest id, with all its columns; rows of one id go or stay together, rows without one stay."""
-    found = near_duplicates(docs, id_col, text_col)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone_")).distinct()
-    return docs.join(bounded(Table(gone, "near-gone").df), docs[id_col] == F.col("gone_"), "left_anti")
+    """Of each component the document with the smallest id, with all its columns; rows of one id are told apart by their texts, rows without one stay."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_hash(text_col).alias("gone_hash"))
+    found = near_duplicates(rows, keep=("gone_hash",))
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_"), "gone_hash").distinct()
+    return docs.join(bounded(Table(gone, "near-gone").df), (docs[id_col] == F.col("gone_")) & (text_hash(docs[text_col]) == F.col("gone_hash")), "left_anti")
