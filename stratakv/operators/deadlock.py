@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.cut import written
@@ -26,19 +26,52 @@ def _core(edges: DataFrame) -> DataFrame:
     return now
 
 
+def _colours(edges: DataFrame) -> DataFrame:
+    """(node, colour): the least node among itself and those that reach it. Only nodes that changed are sent on."""
+    nodes = edges.select(F.col("waiter").alias("node")).unionByName(edges.select(F.col("holder").alias("node"))).distinct()
+    colour = changed = written(nodes.select("node", F.col("node").alias("colour")), "colours")
+    while not changed.isEmpty():
+        offers = edges.join(changed, F.col("waiter") == F.col("node")).groupBy(F.col("holder").alias("to")).agg(F.min("colour").alias("offer"))
+        told = written(colour.join(offers, F.col("node") == F.col("to"), "left").select("node", "colour", "offer"), "offers")
+        better = F.col("offer") < F.col("colour")
+        changed = told.where(better).select("node", F.col("offer").alias("colour"))
+        colour = told.select("node", F.when(better, F.col("offer")).otherwise(F.col("colour")).alias("colour"))
+    return colour
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(txn_id, component): transactions in a cycle of waits, and the least of those that they reach and are reached by."""
-    core = _core(edges)
-    reach, fresh = core, core
-    while not fresh.isEmpty():
-        step = fresh.alias("f").join(core.alias("e"), F.col("f.holder") == F.col("e.waiter")).select(F.col("f.waiter").alias("waiter"), F.col("e.holder").alias("holder")).distinct()
-        fresh = written(step.join(reach, ["waiter", "holder"], "left_anti"), "closure")
-        reach = written(reach.unionByName(fresh), "closure")
-    back = reach.select(F.col("holder").alias("waiter"), F.col("waiter").alias("holder"))
-    return reach.join(back, ["waiter", "holder"]).groupBy(F.col("waiter").alias("txn_id")).agg(F.min("holder").alias("component"))
+    """(txn_id, component): transactions in a cycle of waits, and the least of those that they reach and are reached by.
+
+    Colouring: every node takes the least id that reaches it, so a cycle has one colour. The nodes of a colour that also
+    reach the node it is named after are one component, and are taken out; the rest is done again. A round takes
+    out a component of every colour; no pair of nodes is ever written, only one row a node.
+    """
+    live, found = _core(edges), []
+    while not live.isEmpty():
+        colour = written(_colours(live), "colours")
+        one, two = (colour.withColumnsRenamed({"node": f"{p}_node", "colour": f"{p}_colour"}) for p in "wh")
+        inner = live.join(one, F.col("waiter") == F.col("w_node")).join(two, F.col("holder") == F.col("h_node")).where("w_colour = h_colour")
+        inner = written(inner.select("waiter", "holder", F.col("w_colour").alias("colour")), "inner")
+        members = fresh = written(colour.where("node = colour"), "members")
+        while not fresh.isEmpty():
+            back = inner.join(fresh.select(F.col("node").alias("holder")), "holder").select(F.col("waiter").alias("node"), "colour").distinct()
+            fresh = written(back.join(members, ["node", "colour"], "left_anti"), "members")
+            members = written(members.unionByName(fresh), "members")
+        found.append(members)
+        rest = inner
+        for end in ("waiter", "holder"):
+            rest = rest.join(members.select(F.col("node").alias(end)), end, "left_anti")
+        live = _core(rest.select("waiter", "holder"))
+    if not found:
+        return edges.select(F.col("waiter").alias("txn_id"), F.col("holder").alias("component")).limit(0)
+    every = found[0]
+    for m in found[1:]:
+        every = every.unionByName(m)
+    cycles = every.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1").select("colour")
+    return every.join(cycles, "colour").select(F.col("node").alias("txn_id"), F.col("colour").alias("component"))
 
 
 def victims(found: DataFrame, info: DataFrame) -> DataFrame:
     """Of each component the transaction to abort: highest priority value, then youngest, then fewest locks, then highest id."""
-    order = Window.partitionBy("component").orderBy(F.desc("priority"), F.desc("start_ts"), "lock_count", F.desc("txn_id"))
-    return found.join(info, "txn_id").withColumn("place", F.row_number().over(order)).where("place = 1").select("component", "txn_id")
+    place = F.struct("priority", "start_ts", -F.col("lock_count"), "txn_id")
+    return found.join(info, "txn_id").groupBy("component").agg(F.max_by("txn_id", place).alias("txn_id"))

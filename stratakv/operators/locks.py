@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bounds import contains, overlap
 from ..schema import COMPATIBLE, ESCALATE_LOCKS, FORCE_LOCKS, MODES, UPGRADES, WARN_LOCKS
+from .intervals import filled, meet
 
 
 def compatible(a: Column, b: Column) -> Column:
@@ -38,24 +39,33 @@ def holders(requests: DataFrame) -> DataFrame:
     return requests.groupBy("k").agg(F.countDistinct("txn_id").alias("n_holders"), F.count("*").alias("n_requests"), F.max((F.col("mode") == "X").cast("int")).alias("exclusive"))
 
 
-def range_point_conflicts(ranges: DataFrame, requests: DataFrame) -> DataFrame:
-    """(k, txn_id, range_txn_id): a request for a key in another's range, in a mode that does not go with the range's.
+def _ends(ranges: DataFrame, points: DataFrame | None = None) -> tuple[int, int]:
+    """The least and the greatest key in sight; open ends reach so far."""
+    keys = ranges.select(F.explode(F.array("lo", "hi")).alias("k"))
+    if points is not None:
+        keys = keys.unionByName(points.select("k"))
+    low, high = keys.agg(F.min("k"), F.max("k")).first()
+    return low or 0, high or 0
 
-    ranges is the smaller side, and is broadcast if Spark finds it small; keys are few a range, so it is joined by test.
-    """
-    r = ranges.select(F.col("txn_id").alias("range_txn_id"), F.col("mode").alias("range_mode"), "lo", "lo_inc", "hi", "hi_inc")
+
+def range_point_conflicts(ranges: DataFrame, requests: DataFrame) -> DataFrame:
+    """(k, txn_id, range_txn_id): a request for a key in another's range, in a mode that does not go with the range's."""
     q = requests.select("txn_id", "k", "mode").distinct()
+    r = ranges.select(F.col("txn_id").alias("range_txn_id"), F.col("mode").alias("range_mode"), "lo", "lo_inc", "hi", "hi_inc")
+    r = filled(r, "lo", "hi", *_ends(ranges, q), "b_")
+    q = q.withColumn("a_lo", F.col("k").cast("long")).withColumn("a_hi", F.col("a_lo"))
     met = contains(F.col("k"), F.col("lo"), F.col("lo_inc"), F.col("hi"), F.col("hi_inc")) & (F.col("txn_id") != F.col("range_txn_id"))
-    return q.join(r, met & ~compatible(F.col("mode"), F.col("range_mode"))).select("k", "txn_id", "range_txn_id").distinct()
+    return meet(q, r).where(met & ~compatible(F.col("mode"), F.col("range_mode"))).select("k", "txn_id", "range_txn_id").distinct()
 
 
-def range_overlaps(ranges: DataFrame, width: int, top: int) -> DataFrame:
-    """(txn_id, other_id), smaller first: ranges that share a point. Open ends reach to `top`; met in bins of `width`."""
-    side = lambda p: ranges.select(*[F.col(c).alias(f"{p}_{c}") for c in ("txn_id", "lo", "lo_inc", "hi", "hi_inc")]).withColumn(f"{p}_bin", F.explode(F.sequence(F.expr(f"{p}_lo div {width}"), F.expr(f"coalesce({p}_hi, {top}) div {width}"))))
-    a, b = side("a"), side("b")
-    meet = overlap(*[F.col(f"a_{c}") for c in ("lo", "lo_inc", "hi", "hi_inc")], *[F.col(f"b_{c}") for c in ("lo", "lo_inc", "hi", "hi_inc")])
-    once = F.col("a_bin") == F.expr(f"greatest(a_lo, b_lo) div {width}")
-    return a.join(b, (F.col("a_bin") == F.col("b_bin")) & once & (F.col("a_txn_id") < F.col("b_txn_id")) & meet).select(F.col("a_txn_id").alias("txn_id"), F.col("b_txn_id").alias("other_id"))
+def range_overlaps(ranges: DataFrame) -> DataFrame:
+    """(txn_id, other_id), smaller first: ranges that share a point; a null end is open."""
+    ends = _ends(ranges)
+    names = ("txn_id", "lo", "lo_inc", "hi", "hi_inc")
+    side = lambda p: filled(ranges.select(*[F.col(c).alias(f"{p}of_{c}") for c in names]), f"{p}of_lo", f"{p}of_hi", *ends, p)
+    shared = overlap(*[F.col(f"{p}of_{c}") for p in ("a_", "b_") for c in names[1:]])
+    pairs = meet(side("a_"), side("b_")).where((F.col("a_of_txn_id") < F.col("b_of_txn_id")) & shared)
+    return pairs.select(F.col("a_of_txn_id").alias("txn_id"), F.col("b_of_txn_id").alias("other_id"))
 
 
 def escalation(requests: DataFrame, warn: int = WARN_LOCKS, escalate: int = ESCALATE_LOCKS, force: int = FORCE_LOCKS) -> DataFrame:

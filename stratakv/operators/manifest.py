@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import L0_TRIGGER, LAST_LEVEL, LEVEL_BASE_BYTES, LEVEL_FACTOR
+from .intervals import meet
 from .reads import by_layer
 
 
@@ -30,16 +31,28 @@ def pick_compaction(files: DataFrame) -> DataFrame:
     return due.agg(F.min("level").alias("level")).where("level is not null").select("level", (F.col("level") + 1).alias("output_level"))
 
 
-def overlapping(upper: DataFrame, lower: DataFrame, width: int) -> DataFrame:
-    """Pairs of files whose closed key ranges overlap: (sst_id, other_id). Ranges are longs, met in bins of `width`.
+def overlapping(upper: DataFrame, lower: DataFrame) -> DataFrame:
+    """Pairs of files whose closed key ranges overlap: (sst_id, other_id). Keys are longs."""
+    side = lambda d, p: d.select(F.col("sst_id").alias(f"{p}id"), F.col("min_key").alias(f"{p}lo"), F.col("max_key").alias(f"{p}hi"))
+    return meet(side(upper, "a_"), side(lower, "b_")).select(F.col("a_id").alias("sst_id"), F.col("b_id").alias("other_id"))
 
-    A pair is reported in the bin where the later of the two begins, so once.
+
+def compaction_inputs(files: DataFrame) -> DataFrame:
+    """(level, id, output_level) of the files that the next compaction reads; none if all is well.
+
+    files: level, id, min_key, max_key (longs). All of L0 and L1 if L0 is due; else the first file by id of the level
+    and the files of the level below that overlap it.
     """
-    bins = lambda d: d.withColumn("bin", F.explode(F.sequence(F.expr(f"min_key div {width}"), F.expr(f"max_key div {width}"))))
-    a, b = bins(upper).alias("a"), bins(lower).alias("b")
-    meet = (F.col("a.bin") == F.col("b.bin")) & (F.col("a.max_key") >= F.col("b.min_key")) & (F.col("b.max_key") >= F.col("a.min_key"))
-    once = F.col("a.bin") == F.expr(f"greatest(a.min_key, b.min_key) div {width}")
-    return a.join(b, meet & once).select(F.col("a.sst_id").alias("sst_id"), F.col("b.sst_id").alias("other_id"))
+    due = pick_compaction(files).first()
+    if due is None:
+        return files.select("level", "id", F.lit(1).alias("output_level")).limit(0)
+    level, below = due["level"], files.where(F.col("level") == due["output_level"])
+    if level == 0:
+        return files.where("level <= 1").select("level", "id", F.lit(1).alias("output_level"))
+    first = files.where(F.col("level") == level).agg(*[F.min_by(c, "id").alias(c) for c in ("level", "min_key", "max_key")], F.min("id").alias("id")).select("level", "id", "min_key", "max_key")
+    named = lambda d: d.withColumnRenamed("id", "sst_id")
+    under = overlapping(named(first), named(below)).select(F.lit(level + 1).alias("level"), F.col("other_id").alias("id"))
+    return first.select("level", "id").unionByName(under).withColumn("output_level", F.lit(level + 1))
 
 
 def compact(rows: DataFrame) -> DataFrame:

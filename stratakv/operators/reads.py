@@ -92,8 +92,7 @@ def as_of(asks: DataFrame, log: DataFrame, ask_at: str, log_at: str, values: Seq
     last = b.groupBy(*keys, "bin").agg(F.max_by("hit", "at").alias("carry"))
     marks = last.unionByName(a.select(*keys, "bin").distinct().withColumn("carry", F.lit(None).cast(last.schema["carry"].dataType)))
     marks = marks.groupBy(*keys, "bin").agg(F.first("carry", ignorenulls=True).alias("carry"))
-    before = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    marks = marks.withColumn("carry", F.last("carry", ignorenulls=True).over(before))
+    marks = _carried(marks, keys)
     side = F.lit(1 if strict else -1)
     both = a.withColumn("hit", F.lit(None).cast(b.schema["hit"].dataType)).withColumn("side", F.lit(0)).unionByName(
         b.withColumn("ask", F.lit(None).cast(a.schema["ask"].dataType)).withColumn("side", side)
@@ -104,10 +103,30 @@ def as_of(asks: DataFrame, log: DataFrame, ask_at: str, log_at: str, values: Seq
     return joined.select("ask.*", *[F.col(f"hit.{v}").alias(v) for v in values])
 
 
+#: Bins that meet in one window; above them one row stands for so many.
+_FANOUT = 1 << 12
+
+
+def _carried(marks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`carry` of each bin replaced by the last one before it, in two steps, so that not all bins meet in one task."""
+    far = [f"{k}_far" for k in keys]
+    marks = marks.withColumn("wide", F.floor(F.col("bin") / _FANOUT).cast("long"))
+    tops = marks.groupBy(*[F.col(k).alias(f) for k, f in zip(keys, far, strict=True)], F.col("wide").alias("wide_far")).agg(F.max_by("carry", F.when(F.col("carry").isNotNull(), F.col("bin"))).alias("top"))
+    over = Window.partitionBy(*far).orderBy("wide_far").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.withColumn("top", F.last("top", ignorenulls=True).over(over))
+    near = Window.partitionBy(*keys, "wide").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    marks = marks.withColumn("carry", F.last("carry", ignorenulls=True).over(near))
+    same = [F.col(k).eqNullSafe(F.col(f)) for k, f in zip([*keys, "wide"], [*far, "wide_far"], strict=True)]
+    return marks.join(tops, same, "left").select(*keys, "bin", F.coalesce("carry", "top").alias("carry"))
+
+
 def running_sum(rows: DataFrame, order: str, value: str, name: str, width: int = 1 << 12) -> DataFrame:
-    """`name`: the sum of `value` up to each row in the order of a unique long, summed bin by bin and then within bins."""
+    """`name`: the sum of `value` up to each row in the order of a unique long: within bins, over bins, and over groups of bins."""
     binned = rows.withColumn("bin_", F.floor(F.col(order) / width).cast("long"))
-    sums = binned.groupBy(F.col("bin_").alias("of_bin")).agg(F.sum(value).alias("s"))
-    sums = sums.withColumn("before", F.coalesce(F.sum("s").over(Window.orderBy("of_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("s")
+    sums = binned.groupBy(F.col("bin_").alias("of_bin")).agg(F.sum(value).alias("s")).withColumn("wide", F.floor(F.col("of_bin") / _FANOUT).cast("long"))
+    upto = Window.orderBy("of_wide").rowsBetween(Window.unboundedPreceding, -1)
+    far = sums.groupBy(F.col("wide").alias("of_wide")).agg(F.sum("s").alias("far")).withColumn("far", F.coalesce(F.sum("far").over(upto), F.lit(0)))
+    near = F.sum("s").over(Window.partitionBy("wide").orderBy("of_bin").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.withColumn("near", F.coalesce(near, F.lit(0))).join(far, F.col("wide") == F.col("of_wide")).select("of_bin", (F.col("near") + F.col("far")).alias("before"))
     own = F.sum(value).over(Window.partitionBy("bin_").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return binned.join(sums, F.col("bin_") == F.col("of_bin")).withColumn(name, own + F.col("before")).drop("bin_", "of_bin", "before")

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..schema import DELETE, PUT
 
 
+#: Digits of a number as a key: as many as a long has, since padding to fewer would cut keys short and merge them.
+KEY_WIDTH = 19
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -18,7 +22,7 @@ def padded(col: str, width: int) -> Column:
 
 def kv_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     op = F.when(F.col("event_type") == "error", DELETE).otherwise(PUT)
-    return table(spark, sf_dir, "events").select(padded("user_id", 8).alias("k"), (F.col("event_id") + 1).alias("ts"), op.alias("op"), F.col("value").alias("v"))
+    return table(spark, sf_dir, "events").select(padded("user_id", KEY_WIDTH).alias("k"), (F.col("event_id") + 1).alias("ts"), op.alias("op"), F.col("value").alias("v"))
 
 
 def half_way(spark: SparkSession, sf_dir: str) -> int:
@@ -41,14 +45,14 @@ def kv_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kv_static(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One version a key, with the bytes that a stored entry takes."""
     o = table(spark, sf_dir, "orders")
-    return o.select("o_orderkey", padded("o_orderkey", 10).alias("k"), (F.length("o_orderpriority") + 18).cast("long").alias("size"))
+    return o.select("o_orderkey", padded("o_orderkey", KEY_WIDTH).alias("k"), (F.length("o_orderpriority") + 18).cast("long").alias("size"))
 
 
 def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An ordered write batch over keys of the log."""
     c = table(spark, sf_dir, "customer")
     op = F.when(F.col("c_acctbal") < 0, DELETE).otherwise(PUT)
-    return c.select(F.col("c_custkey").alias("pos"), F.lpad((F.col("c_custkey") % 170).cast("string"), 8, "0").alias("k"), op.alias("op"), F.col("c_acctbal").alias("v"))
+    return c.select(F.col("c_custkey").alias("pos"), F.lpad((F.col("c_custkey") % 170).cast("string"), KEY_WIDTH, "0").alias("k"), op.alias("op"), F.col("c_acctbal").alias("v"))
 
 
 def txns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,11 +74,13 @@ def lock_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def range_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A transaction's range from its least to its greatest key; odd ones leave their end out, and every 50th has none."""
-    ends = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("txn_id")).agg(F.min("l_partkey").alias("lo"), F.max("l_partkey").alias("hi"))
-    open_ = F.col("txn_id") % 50 == 0
+    """A transaction's range: from its least key, as many keys on as it has lines. Odd ones leave their end out, and a
+    range that would pass the last key is open."""
+    last = table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0] or 0
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("txn_id")).agg(F.min("l_partkey").alias("lo"), F.count("*").alias("n"))
+    hi = F.col("lo") + F.col("n")
     mode = F.when(F.col("txn_id") % 3 == 0, "X").otherwise("S")
-    return ends.select("txn_id", mode.alias("mode"), "lo", F.lit(True).alias("lo_inc"), F.when(~open_, F.col("hi")).alias("hi"), (F.col("txn_id") % 2 == 0).alias("hi_inc"))
+    return lines.select("txn_id", mode.alias("mode"), "lo", F.lit(True).alias("lo_inc"), F.when(hi <= last, hi).alias("hi"), (F.col("txn_id") % 2 == 0).alias("hi_inc"))
 
 
 def manifest_log(spark: SparkSession, sf_dir: str) -> DataFrame:
