@@ -71,11 +71,37 @@ def test_classifiers_on_held_out_rows(spark, corpus, docs, module, column, mod,
     assert module.classify(docs.limit(0), model).count() == 0
 
 
+def patterns(votes):
+    rows, n = np.unique(votes, axis=0, return_counts=True)
+    return rows.astype(float), n.astype(float)
+
+
 def test_correlated_voters_share_their_weight():
     rng = np.random.default_rng(0)
     y = (rng.random(4000) < 0.3).astype(float)
-    vote = lambda q: np.where(rng.random(4000) < q, y, 1 - y).astype(np.int8)
-    same = vote(0.75)
-    model = toxicity.LabelModel(np.column_stack([vote(0.75), same, same, same]), y)
-    assert model.weight[0] > 0.9 and model.weight[1:].max() < 0.5
-    assert model.given[1, 2, 0] > 0.7
+    vote = lambda q, p=0.02: (rng.random(4000) < np.where(y == 1, q, p)).astype(int)
+    same = vote(0.6)
+    model = toxicity.LabelModel(*patterns(np.column_stack([vote(0.6), vote(0.7), vote(0.5), same, same, same])), 0.3)
+    assert model.weight[:3].min() > 0.7 and model.weight[3:6].max() < 0.5
+    assert np.abs(model.given[1, :6] - [0.6, 0.7, 0.5, 0.6, 0.6, 0.6]).max() < 0.06
+
+
+def test_posteriors_come_from_votes_and_not_from_labels(spark):
+    """A few labels are wrong. The posteriors follow the words; labels only propose the voters."""
+    rng, rows, truth = random.Random(3), [], []
+    bad = ["idiot", "zorkla", "zorkmo", "vermpa", "vermto", "scum"]
+    for i in range(1200):
+        words = text(rng, "en").split()
+        truth.append(int(rng.random() < 0.2))
+        for w in rng.sample(bad, 3) if truth[-1] else ():
+            words[rng.randrange(40)] = w
+        rows.append((i, " ".join(words)))
+    labels = [(i, 1 - t if rng.random() < 0.04 else t) for i, t in enumerate(truth)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    given = {}
+    counts = lambda v: given.setdefault("n", toxicity.vote_counts(docs, v, (4, 2)))
+    model = toxicity.fit([(t, y) for (_, t), (_, y) in zip(rows, labels, strict=True)], counts)
+    assert sum(given["n"].values()) == docs.where("crc32(cast(doc_id as string)) % 4 <> 2").count()
+    got = model.scorer()([t for _, t in rows]) >= 0.5
+    said = np.array([y for _, y in labels])
+    assert np.mean(got == np.array(truth)) > 0.97 and (got != said).sum() > 25
