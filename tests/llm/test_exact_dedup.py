@@ -39,3 +39,30 @@ def test_directory_splits_overfull_buckets():
     full = [sum(counts.get(p, 0) for p in range(8) if out[p] == b) for b in set(out)]
     assert max(x for x in full if x != 90) <= 10 and out == sorted(out)
     assert exact_dedup.directory({}, 3, 10) == [0]
+
+
+def test_collisions_are_chained_and_rows_go_through_the_directory(spark, monkeypatch):
+    """With a key of two bits nearly all texts collide; a wrong directory loses the copies."""
+    texts = [f"text number {i % 40}" for i in range(130)] + ["x"] * 50
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    check(df, capacity=3)
+    few = lambda c: exact_dedup.F.pmod(exact_dedup.F.hash(c), exact_dedup.F.lit(4)).cast("long") * (1 << 61)
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda c, *more: few(c))
+    sigs, index = exact_dedup.build_index(df, capacity=3)
+    monkeypatch.undo()
+    entries = index.entries.collect()
+    assert len(entries) == 41 and sum(r["group_size"] for r in entries) == 180
+    chains = {}
+    for r in entries:
+        chains.setdefault((r["bucket"], r["key"]), []).append(r["chain"])
+    assert len(chains) <= 4 and all(sorted(c) == list(range(len(c))) for c in chains.values())
+    found = index.find(sigs, 180)
+    assert sorted(r["group_size"] for r in found.collect()) == sorted(texts.count(t) for t in texts)
+    wrong = exact_dedup.Index(index.entries, [p + 1 for p in index.pointers])
+    assert wrong.find(sigs, 180).where("group_size is not null").count() == 0
+
+
+def test_skewed_keys_split_their_bucket():
+    counts = {p: 1 for p in range(256)} | {7: 500}
+    out = exact_dedup.directory(counts, 8, 40)
+    assert len(out) == 256 and out.count(out[7]) == 1 and out.count(out[255]) > 8
