@@ -40,20 +40,20 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
 SKETCH_ERROR = 0.01
 _BASE = (1 + SKETCH_ERROR) / (1 - SKETCH_ERROR)
 _ZERO = -1_000_000
-#: Measures by name: numerator, denominator and the quantile that an upper fence is never below. Where most documents have
-#: none of a thing the quartiles are zero, and this quantile is the fence; up to a tenth of a group may be made of symbols.
+#: Measures by name: numerator, denominator, and the quantiles of the lower and the upper tail. Up to a tenth of a group
+#: may be made of symbols, or of the long words that symbols make.
 RATIOS = {
-    "word_length": ("word_chars", "n_words", 0.75),
-    "symbols": ("n_symbols", "n_words", 0.9),
-    "dup_lines": ("n_dup_lines", "n_lines", 0.99),
-    "repeats": ("n_repeat_words", "n_words", 0.99),
+    "word_length": ("word_chars", "n_words", 0.05, 0.9),
+    "symbols": ("n_symbols", "n_words", None, 0.9),
+    "dup_lines": ("n_dup_lines", "n_lines", None, 0.98),
+    "repeats": ("n_repeat_words", "n_words", None, 0.98),
 }
+#: A fence stands this many times the distance from the median to the tail's quantile beyond that quantile.
+SPREAD = 2.0
 #: A fence's share that is left for the sketch's error.
 GUARD = 2 * SKETCH_ERROR
-#: Fences stand this many interquartile ranges from the quartiles.
-RANGES = 6.0
-#: A language and source with fewer documents uses its language's sketch, and a language with fewer the sketch of all.
-LEAST_DOCS = 100
+#: Weight, in documents, at which a language's sketch is merged into those of its sources, and that of all into it.
+PRIOR_DOCS = 30
 
 
 def sketch(values: DataFrame, keys: list[str], value: str = "x") -> DataFrame:
@@ -66,13 +66,22 @@ def merged(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return sketches.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
 
 
+def shrunk(own: DataFrame, parent: DataFrame, keys: list[str], shared: list[str], weight: float = PRIOR_DOCS) -> DataFrame:
+    """Sketches by `keys`, each merged with the sketch of its `shared` keys, which counts as `weight` documents."""
+    share = F.lit(weight) * F.col("n") / F.sum("n").over(Window.partitionBy(*shared))
+    prior = parent.select(*[F.col(c).alias(f"of_{c}") for c in shared], F.col("bucket"), share.alias("n"))
+    met = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in shared]
+    given = own.select(*keys).distinct().join(prior, met).select(*keys, "bucket", "n")
+    return merged(own.select(*keys, "bucket", F.col("n").cast("double").alias("n")).unionByName(given), keys)
+
+
 def quantiles(sketches: DataFrame, keys: list[str], at: dict[str, float]) -> DataFrame:
     """keys, docs, and a column for each quantile of `at`: the middle of the first bucket that reaches it."""
     w = Window.partitionBy(*keys)
     below = F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     t = sketches.withColumn("below", below).withColumn("docs", F.sum("n").over(w))
     middle = F.when(F.col("bucket") == _ZERO, F.lit(0.0)).otherwise(F.pow(F.lit(_BASE), F.col("bucket")) * (2 / (1 + _BASE)))
-    return t.groupBy(*keys).agg(F.max("docs").alias("docs"), *[F.min(F.when(F.col("below") >= F.col("docs") * q, middle)).alias(name) for name, q in at.items()])
+    return t.groupBy(*keys).agg(F.max("docs").alias("docs"), *[F.min(F.when(F.col("below") >= F.col("docs") * q - 1e-6, middle)).alias(name) for name, q in at.items()])
 
 
 def measures(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
@@ -92,29 +101,22 @@ def measures(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_
 
 
 def _ratio(name: str) -> Column:
-    a, b, _ = RATIOS[name]
+    a, b = RATIOS[name][:2]
     return F.col(a) / F.greatest(F.col(b), F.lit(1))
 
 
 def fences(found: DataFrame) -> DataFrame:
-    """(lang, source, and a lower and an upper fence for each measure), from sketches over all that pass the base rule."""
+    """(of_lang, of_source, and a lower and an upper fence for each measure), from sketches over all that pass the base rule."""
     passed = found.where("not base_failed")
     values = passed.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(n).alias("what"), _ratio(n).alias("x")) for n in RATIOS])).alias("v")).select("lang", "source", "v.*")
     own = Table(sketch(values, ["lang", "source", "what"]), "sketches").df
-    tails = {n: f"q{round(100 * q)}" for n, (_, _, q) in RATIOS.items()}
-    at = {"q1": 0.25, "q3": 0.75} | {tails[n]: q for n, (_, _, q) in RATIOS.items()}
-    levels = [
-        quantiles(own, ["lang", "source", "what"], at),
-        quantiles(merged(own, ["lang", "what"]), ["lang", "what"], at),
-        quantiles(merged(own, ["what"]), ["what"], at),
-    ]
-    a, b, c = (q.withColumnsRenamed({n: f"{n}_{k}" for n in q.columns}) for k, q in zip("abc", levels, strict=True))
-    t = a.join(b, F.col("lang_a").eqNullSafe(F.col("lang_b")) & (F.col("what_a") == F.col("what_b"))).join(F.broadcast(c), F.col("what_a") == F.col("what_c"))
-    pick = lambda q: F.when(F.col("docs_a") >= LEAST_DOCS, F.col(f"{q}_a")).when(F.col("docs_b") >= LEAST_DOCS, F.col(f"{q}_b")).otherwise(F.col(f"{q}_c"))
-    tail = F.coalesce(*[F.when(F.col("what_a") == n, pick(q)) for n, q in tails.items()])
-    t = t.select(F.col("lang_a").alias("of_lang"), F.col("source_a").alias("of_source"), F.col("what_a").alias("what"), pick("q1").alias("q1"), pick("q3").alias("q3"), tail.alias("tail"))
-    room = RANGES * (F.col("q3") - F.col("q1"))
-    t = t.withColumn("low", (F.col("q1") - room) * (1 - GUARD)).withColumn("high", F.greatest(F.col("q3") + room, F.col("tail")) * (1 + GUARD))
+    by_lang = shrunk(merged(own, ["lang", "what"]), merged(own, ["what"]), ["lang", "what"], ["what"])
+    full = shrunk(own, by_lang, ["lang", "source", "what"], ["lang", "what"])
+    at = {"median": 0.5} | {f"q{round(1000 * q)}": q for r in RATIOS.values() for q in r[2:] if q is not None}
+    t = quantiles(full, ["lang", "source", "what"], at)
+    pick = lambda k: F.coalesce(*[F.when(F.col("what") == n, F.col(f"q{round(1000 * r[k])}") if r[k] is not None else F.lit(None)) for n, r in RATIOS.items()])
+    beyond = lambda tail: (1 + SPREAD) * tail - SPREAD * F.col("median")
+    t = t.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), "what", (beyond(pick(2)) * (1 - GUARD)).alias("low"), (beyond(pick(3)) * (1 + GUARD)).alias("high"))
     of = lambda n, c: F.max(F.when(F.col("what") == n, F.col(c))).alias(f"{n}_{c}")
     return t.groupBy("of_lang", "of_source").agg(*[of(n, c) for n in RATIOS for c in ("low", "high")])
 
@@ -122,14 +124,16 @@ def fences(found: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row a document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed, kept.
 
-    `failed` names the measures outside their fences. A document is kept if it passes the base rule and all measures.
+    `failed` names the measures outside their fences, by more than one count: a single symbol, line or word is no
+    outlier, however clean the group. A document is kept if it passes the base rule and all measures. A group's own
+    sketch outweighs its language's from PRIOR_DOCS documents on, and there is no other fence than its quantiles give.
     Null languages and sources are groups of their own; a null text has no words and fails the base rule, as all short
     ones do. No rows in, no rows out.
     """
     found = Table(measures(docs, id_col, text_col, lang_col, source_col), "measures").df
     limits = bounded(Table(fences(found), "fences").df)
     t = found.join(limits, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
-    out = [F.when((_ratio(n) < F.col(f"{n}_low")) | (_ratio(n) > F.col(f"{n}_high")), F.lit(n)) for n in RATIOS]
+    out = [F.when((F.col(a) + 1 < F.col(f"{n}_low") * F.col(b)) | (F.col(a) - 1 > F.col(f"{n}_high") * F.col(b)), F.lit(n)) for n, (a, b, *_) in RATIOS.items()]
     t = t.withColumn("failed", F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*out))))
     return t.select(
         F.col("doc_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
