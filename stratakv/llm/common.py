@@ -49,10 +49,10 @@ def _delete_all() -> None:
 class Table:
     """A table written to the shared folder: it cuts lineage, and survives lost executors."""
 
-    def __init__(self, df: DataFrame, tag: str):
+    def __init__(self, df: DataFrame, tag: str, options: dict[str, str] | None = None):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/stratakv-{tag}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        df.write.options(**(options or {})).parquet(self.path)
         _written.append((self.spark, self.path))
         self.schema = df.schema
 

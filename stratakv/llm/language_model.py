@@ -1,16 +1,18 @@
 """Language-model scoring: a hierarchical Pitman-Yor model with Chinese-restaurant seating sampled by Gibbs.
 
-Every class of a preceding word is a context restaurant, and all of them share the root restaurant as their parent.
-Texts are read once. A task turns its documents into blocks of bounded size: the tokens as numbers of (word, context)
-pairs, and the distinct words with their counts by context, packed by bucket of the word's hash. Only these are dealt
-out. In a bucket a word's counts from all blocks meet, its seating is sampled given the sizes of the restaurants, and
-the averaged predictive probability of each pair goes back to the blocks that asked for it. No table of all words is
-ever in one place, and what is gathered grows with the corpus.
+A token's context is the ending of the word before it. Restaurants of two-byte endings send their tables as customers to
+those of one-byte endings, and these to the root: a longer context backs off to a shorter one. Texts are read once. A
+task turns its documents into blocks of bounded size: the tokens as numbers of (word, context) pairs, and the distinct
+words with their counts by context, packed by bucket of the word's hash. Only these are dealt out. In a bucket a word's
+counts from all blocks and contexts meet, so a dish has all its seatings in one place; a sweep draws the tables of every
+dish in every restaurant given all others, and the restaurants' sizes are summed between sweeps. The averaged
+predictive probability of each pair goes back to the blocks that asked for it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -18,23 +20,23 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import StorageLevel, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Table, remainder, small_batches
 
-#: Context restaurants, at most 256: the start of a text, and classes of a preceding word by its last bytes.
-CONTEXTS, ENDING = 250, 2
+#: Contexts: the last two bytes of the word before, without closing punctuation, as a number; 0 at the start of a text.
+CONTEXTS, PARENTS = 1 << 16, 1 << 8
 #: A block ends with the document that brings it to so many tokens or distinct words.
 BLOCK_TOKENS, BLOCK_WORDS = 3_000_000, 350_000
-#: Sweeps before the restaurants' sizes are taken, and seatings that predictions are averaged over.
-BURN_IN, SAMPLES = 2, 2
+#: Sweeps of the chain, and how many seatings at its end predictions are averaged over.
+SWEEPS, SAMPLES = 3, 2
 STRENGTH = 1.0
-#: Customers of a dish that are seated one by one; the rest in stretches of an eighth of those seated.
-ONE_BY_ONE = 32
-#: Bytes of text a bucket of words; a bucket's words are in one task's memory together.
-BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 1 << 20, 64, 1 << 16
+#: Customers of a dish up to which the number of its tables is drawn by going through all numbers.
+EXACT = 48
+#: Bytes of text a bucket of words; a bucket's words are in one task's memory together. And bytes of text a task.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS, TASK_BYTES = 16 << 20, 64, 1 << 18, 64 << 20
 
 #: Words are known by their XXH64; two of V words share one with probability V^2 / 2^65. No word holds a line feed.
 END = xxhash.xxh64_intdigest(b"\n", 0)
@@ -42,7 +44,7 @@ _DOCS = pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())]))
 
 
 def context_of(word: bytes) -> int:
-    return 1 + xxhash.xxh32_intdigest(word.rstrip(b".,;:!?")[-ENDING:], 0) % (CONTEXTS - 1)
+    return int.from_bytes((word.rstrip(b".,;:!?") or word)[-2:], "big")
 
 
 class Block:
@@ -156,29 +158,96 @@ def uniform(key: np.ndarray, step: int) -> np.ndarray:
         return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
 
 
-def seat(c: np.ndarray, a: np.ndarray, d: float, key: np.ndarray, sweep: int) -> np.ndarray:
-    """Tables that c customers of a dish take: after i customers at t tables the next opens one with odds a : i - d t."""
+@lru_cache(maxsize=8)
+def table_ratios(d: float) -> tuple[np.ndarray, np.ndarray]:
+    """From the weight S[c, t] of all ways to seat c customers at t tables (generalised Stirling numbers):
+    S[c, t + 1] / S[c, t], and S[c - 1, t - 1] / S[c, t], the chance that a customer is alone at a table."""
+    s = np.zeros((EXACT + 1, EXACT + 2))
+    s[0, 0] = 1
+    for c in range(EXACT):
+        s[c + 1, 1:-1] = s[c, :-2] + np.maximum(c - np.arange(1, EXACT + 1) * d, 0) * s[c, 1:-1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        more, alone = s[:, 1:] / s[:, :-1], np.zeros_like(s)
+        alone[1:, 1:] = s[:-1, :-1] / s[1:, 1:]
+        return np.nan_to_num(more, posinf=0.0), np.nan_to_num(alone, posinf=0.0)
+
+
+def alone(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """The chance that one of c customers at t tables is alone; for many, between its limits for few and for all tables."""
+    share = t / np.maximum(c, 1)
+    few = table_ratios(d)[1][np.minimum(c, EXACT).astype(np.int64), np.minimum(t, EXACT).astype(np.int64)]
+    return np.where(c <= EXACT, few, np.maximum(t - 1, 0) / np.maximum(c, 1) * (d + (1 - d) * share))
+
+
+def many_tables(x: np.ndarray, c: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """For many customers: the number of tables t whose saddle point is 1 - x, and the weight of t + 1 tables against t."""
+    f = (1 - x**d) / d
+    t = c * f * x ** (1 - d) / (1 - x)
+    return t, f / t
+
+
+def seat(c: np.ndarray, tables: np.ndarray, d: float, above: np.ndarray, below: np.ndarray, up: np.ndarray, down: int, key: np.ndarray, step: int) -> np.ndarray:
+    """The number of tables that c customers of a dish take, drawn from its distribution given all else.
+
+    tables: those of the restaurant's other dishes. A table more is worth the chance that the parent serves the dish,
+    (above + up t) / (below + down t) after t customers, and strength plus discount for every table there is by then.
+    For many customers the distribution is summed over 64 points instead of all numbers.
+    """
     t = np.minimum(c, 1).astype(float)
-    live, i = np.flatnonzero(c > 1), 1
+
+    def worth(at: np.ndarray, k) -> np.ndarray:
+        return (STRENGTH + d * (tables[at] + k)) * (above[at] + up[at] * k) / (below[at] + down * k)
+
+    live, k, ratios = np.flatnonzero((c > 1) & (c <= EXACT)), 1, table_ratios(d)[0]
+    weight, total = np.ones(len(live)), np.ones(len(live))
     while len(live):
-        m = np.minimum(c[live] - i, 1 if i < ONE_BY_ONE else i // 8)
-        p = a[live] / (a[live] + i - d * t[live])
-        t[live] += np.floor(m * p + uniform(key[live], sweep << 20 | i))
-        i += 1 if i < ONE_BY_ONE else i // 8
-        live = live[c[live] > i]
-    return np.minimum(t, c)
+        weight = weight * ratios[c[live], k] * worth(live, k)
+        total = total + weight
+        t[live[uniform(key[live], step << 8 | k) * total < weight]] = k + 1
+        k += 1
+        left = c[live] > k
+        live, weight, total = live[left], weight[left], total[left]
+
+    big = np.flatnonzero(c > EXACT)
+    if len(big):
+        n, at = c[big].astype(float)[:, None], big[:, None]
+        low, high = np.full((len(big), 1), -80.0), np.full((len(big), 1), -1e-6)
+        for _ in range(40):
+            y = (low + high) / 2
+            less = many_tables(np.exp(y), n, d)[0] < 0.5
+            low, high = np.where(less, y, low), np.where(less, high, y)
+        high = np.full((len(big), 1), -1e-6)
+        grid, row = np.linspace(0, 1, 65)[None, :], np.arange(len(big))
+        for _ in range(4):  # each time on the stretch that held nearly all of it
+            y = low + (high - low) * grid
+            many, more = many_tables(np.exp(y), n, d)
+            gain = np.log(more * worth(at, np.maximum(many, 1)))
+            log = np.hstack([np.zeros_like(n), np.cumsum((gain[:, 1:] + gain[:, :-1]) / 2 * np.diff(many), axis=1)])
+            log -= log.max(axis=1, keepdims=True)
+            kept = log > -12
+            first, last = kept.argmax(axis=1), 64 - kept[:, ::-1].argmax(axis=1)
+            low, high = y[row, np.maximum(first - 1, 0)][:, None], y[row, np.minimum(last + 1, 64)][:, None]
+        mass = np.cumsum((np.exp(log[:, 1:]) + np.exp(log[:, :-1])) / 2 * np.diff(many), axis=1)
+        point = uniform(key[big], step << 8 | 255) * mass[:, -1]
+        k = np.minimum((mass < point[:, None]).sum(axis=1), 63)
+        before = np.where(k > 0, mass[row, k - 1], 0)
+        part = (point - before) / np.maximum(mass[row, k] - before, 1e-300)
+        t[big] = np.clip(np.floor(many[row, k] + part * (many[row, k + 1] - many[row, k]) + 1), 1, c[big])
+    return t
 
 
 class Sizes:
-    """The restaurants: customers of each context, its tables, the root's customers and tables, distinct words, discounts."""
+    """The restaurants' customers and tables, level by level: two-byte contexts, one-byte contexts, the root. Distinct words."""
 
-    def __init__(self, customers, tables, root_customers, root_tables, words, d1, d0):
-        self.customers, self.tables, self.root_customers, self.root_tables = customers, tables, root_customers, root_tables
-        self.words, self.d1, self.d0 = words, d1, d0
+    def __init__(self, customers: np.ndarray, tables: list[np.ndarray], words: float, discounts: tuple[float, float, float]):
+        self.tables, self.words, self.discounts = tables, words, discounts
+        by_last = tables[0].reshape(-1, PARENTS).sum(axis=0)
+        self.customers = [customers, by_last, np.array([tables[1].sum()])]
 
-    def root(self, c0: np.ndarray, t0: np.ndarray, less: np.ndarray | float = 0.0) -> np.ndarray:
-        new = (STRENGTH + self.d0 * self.root_tables) / (self.words + 1)
-        return (np.maximum(c0 - self.d0 * t0, 0) + new) / (STRENGTH + np.maximum(self.root_customers - less, 0))
+    def chance(self, level: int, place: np.ndarray, c: np.ndarray, t: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Of a dish with c customers at t tables of the restaurants `place`, when the level above serves it with chance `base`."""
+        d = self.discounts[level]
+        return (np.maximum(c - d * t, 0) + (STRENGTH + d * self.tables[level][place]) * base) / (STRENGTH + self.customers[level][place])
 
 
 class Words:
@@ -195,27 +264,74 @@ class Words:
         self.of, self.u = codes // CONTEXTS, codes % CONTEXTS
         self.n = np.bincount(self.pair, n, len(codes)).astype(np.int64)
         self.total = np.bincount(self.of, self.n, len(self.names)).astype(np.int64)
+        short, self.up = np.unique(self.of * PARENTS + self.u % PARENTS, return_inverse=True)
+        self.up = self.up.ravel()
+        self.up_of, self.up_u = short // PARENTS, short % PARENTS
         with np.errstate(over="ignore"):
-            self.key = self.names[self.of] ^ (self.u.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-
-    def start(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.minimum(self.n, 1).astype(float), np.minimum(self.total, 1).astype(float)
-
-    def sweep(self, t: np.ndarray, t0: np.ndarray, s: Sizes, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """One Gibbs sweep: every dish leaves its tables and is seated again given all others, then so at the root."""
-        others = np.bincount(self.of, t, len(self.names))[self.of] - t
-        p = s.root(others, np.minimum(t0[self.of], others), t)
-        a = (STRENGTH + s.d1 * np.maximum(s.tables[self.u] - t, 0)) * p
-        t = seat(self.n, a, s.d1, self.key, 2 * k)
-        c0 = np.bincount(self.of, t, len(self.names)).astype(np.int64)
-        a0 = (STRENGTH + s.d0 * np.maximum(s.root_tables - t0, 0)) / (s.words + 1)
-        return t, seat(c0, a0, s.d0, self.names, 2 * k + 1)
-
-    def seatings(self, s: Sizes, sweeps: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        t, t0 = self.start()
-        for k in range(sweeps):
-            t, t0 = self.sweep(t, t0, s, k)
-            yield t, t0
+            mix = lambda of, u: self.names[of] ^ (u.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+            self.keys = mix(self.of, self.u), mix(self.up_of, self.up_u + CONTEXTS), self.names
+
+    def sent(self, t: np.ndarray, t1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Customers of each dish one level up and at the root: the tables of the level below."""
+        return np.bincount(self.up, t, len(self.up_of)), np.bincount(self.up_of, t1, len(self.names))
+
+    def start(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        t = np.where(self.n > EXACT, np.floor(np.sqrt(self.n)), np.minimum(self.n, 1))
+        t1 = np.minimum(np.bincount(self.up, t, len(self.up_of)), 1)
+        return t, t1, np.minimum(self.total, 1).astype(float)
+
+    def sweep(self, seated: tuple[np.ndarray, ...], s: Sizes, k: int) -> tuple[np.ndarray, ...]:
+        """Draws the tables of every dish in every restaurant given all others, in the restaurants' sizes `s`.
+
+        Contexts of one dish are done in two halves, so that the second sees what the first has drawn.
+        """
+        t, t1, t0 = (x.copy() for x in seated)
+        d, zero = s.discounts, np.zeros(len(self.names), np.int64)
+        base = 1 / (s.words + 1)
+
+        def parent(c, own, served, level, place, rest):
+            """Numerator and denominator of the chance that the parent serves the dish, without `own` customers of it."""
+            others = c - own
+            lone = alone(c, served, d[level])  # so many tables leave with each customer, and come back
+            above = others - d[level] * np.maximum(np.minimum(served - own * lone, others), 1) + (STRENGTH + d[level] * s.tables[level][place]) * rest
+            grow = 1 - d[level] * lone
+            return np.maximum(above, -0.999 * grow), STRENGTH + np.maximum(s.customers[level][place] - own, 0), grow
+
+        for half in (0, 1):
+            n1, n0 = self.sent(t, t1)
+            root = s.chance(2, zero, n0, t0, base)
+            at = np.flatnonzero((self.n > 1) & (self.keys[0] & np.uint64(1) == half))
+            up, own = self.up[at], t[at]
+            above, below, grow = parent(n1[up], own, t1[up], 1, self.up_u[up], root[self.of[at]])
+            t[at] = seat(self.n[at], np.maximum(s.tables[0][self.u[at]] - own, 0), d[0], above, below, grow, 1, self.keys[0][at], 4 * k + half)
+        for half in (0, 1):
+            n1, n0 = self.sent(t, t1)
+            at = np.flatnonzero(self.keys[1] & np.uint64(1) == half)
+            w, own = self.up_of[at], t1[at]
+            above, below, grow = parent(n0[w], own, t0[w], 2, zero[w], base)
+            t1[at] = seat(n1[at].astype(np.int64), np.maximum(s.tables[1][self.up_u[at]] - own, 0), d[1], above, below, grow, 1, self.keys[1][at], 4 * k + 2)
+        n0 = self.sent(t, t1)[1].astype(np.int64)
+        t0 = seat(n0, np.maximum(s.tables[2][zero] - t0, 0), d[2], np.full(len(n0), base), np.ones(len(n0)), np.zeros(len(n0)), 0, self.keys[2], 4 * k + 3)
+        return t, t1, t0
+
+    def chain(self, sizes: list[Sizes]) -> Iterator[tuple[np.ndarray, ...]]:
+        """The seatings of one chain, sweep after sweep; the k-th sweep is made in the k-th sizes. The same in every run."""
+        seated = self.start()
+        for k, s in enumerate(sizes):
+            seated = self.sweep(seated, s, k)
+            yield seated
+
+    def predicted(self, seated: tuple[np.ndarray, ...], s: Sizes) -> np.ndarray:
+        """The chance of each pair's word in its context."""
+        t, t1, t0 = seated
+        n1, n0 = self.sent(t, t1)
+        root = s.chance(2, np.zeros(len(n0), np.int64), n0, t0, 1 / (s.words + 1))
+        short = s.chance(1, self.up_u, n1, t1, root[self.up_of])
+        return s.chance(0, self.u, self.n, t, short[self.up])
+
+    def totals(self, seated: tuple[np.ndarray, ...]) -> np.ndarray:
+        """Tables by restaurant, all levels in one vector."""
+        return np.concatenate([np.bincount(self.u, seated[0], CONTEXTS), np.bincount(self.up_u, seated[1], PARENTS), [seated[2].sum()]])
 
 
 def _over_words(rows: DataFrame, work: Callable[[Words, list[int]], pa.RecordBatch | None], schema: str, done: Callable[[], list[pa.RecordBatch]] = lambda: []) -> DataFrame:
@@ -233,21 +349,24 @@ def _over_words(rows: DataFrame, work: Callable[[Words, list[int]], pa.RecordBat
     return rows.mapInArrow(run, schema)
 
 
-def _totals(rows: DataFrame, values: Callable[[Words], np.ndarray]) -> np.ndarray:
-    """The sum of a short vector over all words."""
-    sums: list = []
+def _totals(rows: DataFrame, values: Callable[[Words], np.ndarray], size: int) -> np.ndarray:
+    """The sum of a vector of `size` over all words; tasks send what is not zero, and the sums come to the driver."""
+    sums: list[np.ndarray] = []
 
     def work(w: Words, blocks_: list[int]) -> None:
-        sums.append(values(w))
+        own = values(w)
+        if sums:
+            sums[0] += own
+        else:
+            sums.append(own)
 
     def done() -> list[pa.RecordBatch]:
-        v = np.sum(sums, axis=0) if sums else np.zeros(0)
-        sums.clear()
-        return [pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v.astype(float))], names=["i", "v"])]
+        v = sums.pop() if sums else np.zeros(0)
+        at = np.flatnonzero(v)
+        return [pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(v[at].astype(float))], names=["i", "v"])]
 
-    got = _over_words(rows, work, "i int, v double", done).groupBy("i").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(1 + max((r["i"] for r in got), default=-1))
-    for r in got:
+    out = np.zeros(size)
+    for r in _over_words(rows, work, "i int, v double", done).groupBy("i").agg(F.sum("v").alias("v")).collect():
         out[r["i"]] = r["v"]
     return out
 
@@ -262,42 +381,34 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     buckets = min(max(size // BUCKET_BYTES, LEAST_BUCKETS), MOST_BUCKETS)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
     made = Table(blocks(docs, id_col, text_col, held_out, buckets), "lm-blocks").df
     words = made.where("bucket >= 0").select("bucket", "block", "data")
-    words = words.repartition("bucket").sortWithinPartitions("bucket", "block").persist(StorageLevel.DISK_ONLY)
-
-    C = CONTEXTS
+    # One row group a file: no bucket is ever read by two tasks, and later passes need no shuffle.
+    words = Table(words.repartition(tasks, "bucket").sortWithinPartitions("bucket", "block"), "lm-words", {"parquet.block.size": str(1 << 30)}).df
 
     def first(w: Words) -> np.ndarray:
-        one, contexts = w.n > 0, np.bincount(w.of, w.n > 0, len(w.names))
-        facts = [w.total.sum(), (w.total > 0).sum(), (w.n == 1).sum(), (w.n == 2).sum(), (contexts == 1).sum(), (contexts == 2).sum()]
-        return np.concatenate([np.bincount(w.u, w.n, C), np.bincount(w.u, one, C), facts])
-
-    v = _totals(words, first)
-    v = v if len(v) else np.zeros(2 * C + 6)
-    customers, tables, (tokens, types, n1, n2, m1, m2) = v[:C], v[C : 2 * C], v[2 * C :]
-    discount = lambda a, b: float(np.clip(a / max(a + 2 * b, 1), 0.05, 0.95))
-    sizes = Sizes(customers, tables, tables.sum(), types, types, discount(n1, n2), discount(m1, m2))
-
-    def resized(s: Sizes, sweeps: int, keep: int) -> list[Sizes]:
-        """The restaurants' sizes under each of the last `keep` seatings that `sweeps` sweeps given s end with."""
-
-        def values(w: Words) -> np.ndarray:
-            out = [np.concatenate([np.bincount(w.u, t, C), [t0.sum()]]) for t, t0 in w.seatings(s, sweeps)]
-            return np.concatenate(out[-keep:])
-
-        got = _totals(words, values) if tokens else np.zeros(keep * (C + 1))
-        return [Sizes(customers, g[:C], g[:C].sum(), g[C], types, s.d1, s.d0) for g in got.reshape(keep, C + 1)]
-
-    sizes = resized(sizes, BURN_IN, 1)[0]
-    samples = resized(sizes, BURN_IN + SAMPLES, SAMPLES)
+        seated = w.start()
+        n1, n0 = w.sent(*seated[:2])
+        facts = [w.total.sum(), (w.total > 0).sum(), *((x == k).sum() for x in (w.n, n1, n0) for k in (1, 2))]
+        return np.concatenate([np.bincount(w.u, w.n, CONTEXTS), w.totals(seated), facts])
+
+    def split(v: np.ndarray) -> list[np.ndarray]:
+        return [v[:CONTEXTS], v[CONTEXTS : CONTEXTS + PARENTS], v[CONTEXTS + PARENTS :]]
+
+    each = CONTEXTS + PARENTS + 1
+    v = _totals(words, first, CONTEXTS + each + 8)
+    customers, (tokens, types, *few) = v[:CONTEXTS], v[CONTEXTS + each :]
+    discounts = tuple(float(np.clip(a / max(a + 2 * b, 1), 0.05, 0.95)) for a, b in zip(few[::2], few[1::2], strict=True))
+    sizes = [Sizes(customers, split(v[CONTEXTS : CONTEXTS + each]), types, discounts)]
+    for _ in range(SWEEPS if tokens else 0):
+        now = list(sizes)
+        v = _totals(words, lambda w: w.totals(list(w.chain(now))[-1]), each)  # noqa: B023
+        sizes.append(Sizes(customers, split(v), types, discounts))
 
     def answer(w: Words, blocks_: list[int]) -> pa.RecordBatch:
-        p = np.zeros(len(w.n))
-        for s, (seated, t0) in zip(samples, list(w.seatings(sizes, BURN_IN + SAMPLES))[-SAMPLES:], strict=True):
-            root = s.root(np.bincount(w.of, seated, len(w.names)), t0)[w.of]
-            rest = (STRENGTH + s.d1 * s.tables[w.u]) * root
-            p += (np.maximum(w.n - s.d1 * seated, 0) + rest) / (STRENGTH + s.customers[w.u]) / SAMPLES
+        seatings = list(w.chain(sizes[:-1]))[-SAMPLES:] or [w.start()]
+        p = sum(w.predicted(x, s) for x, s in zip(seatings, sizes[-len(seatings) :], strict=True)) / len(seatings)
         logs = np.log10(np.maximum(p, 1e-300))[w.pair].astype("<f4")
         ends = np.cumsum(w.rows)[:-1]
         pairs = np.cumsum(np.add.reduceat(w.asked, np.concatenate([[0], ends])))[:-1]
@@ -305,7 +416,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         return pa.RecordBatch.from_arrays([pa.array(blocks_, pa.int64()), pa.array([pack(*x) for x in parts], pa.binary())], names=["block", "data"])
 
     answers = _over_words(words, answer, "block long, data binary")
-    texts = made.where("bucket < 0").select("block", "data", "docs")
+    answers = answers.repartition(tasks, "block")
+    texts = made.where("bucket < 0").select("block", "data", "docs").repartition(tasks, "block")
     least = float(np.log10(tokens + types + 1))
 
     def scored(text: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:

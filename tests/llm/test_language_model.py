@@ -55,32 +55,111 @@ def test_blocks_and_partitions_do_not_change_scores_and_context_helps(spark, mon
     assert sum(one[i]["score"] for i in out) > sum(one[i]["base_score"] for i in out) * 0.9
 
 
+def bucket(counts):
+    """All words of a corpus, given as {(word, context): count}, in one bucket."""
+    words = sorted({w for w, _ in counts})
+    pairs = [sorted((u, n) for (v, u), n in counts.items() if v == w) for w in words]
+    names = np.array([lm.xxhash.xxh64_intdigest(str(w)) for w in words], np.uint64)
+    flat = np.array([x for own in pairs for x in own]).reshape(-1, 2)
+    return lm.Words([lm.pack(names, np.arange(len(words)), np.array([len(own) for own in pairs]), flat[:, 0], flat[:, 1])])
+
+
+def sized(w, seated, d):
+    v = w.totals(seated)
+    tables = [v[: lm.CONTEXTS], v[lm.CONTEXTS : -1], v[-1:]]
+    return lm.Sizes(np.bincount(w.u, w.n, lm.CONTEXTS), tables, int((w.total > 0).sum()), d)
+
+
 def test_predictions_sum_to_one():
     """Over all words and the one new word, in every context, for any seating."""
-    words = np.array([lm.xxhash.xxh64_intdigest(str(i)) for i in range(40)], np.uint64)
-    rng = np.random.default_rng(2)
-    u = np.tile(np.arange(lm.CONTEXTS), 40)
-    n = rng.poisson(0.8, len(u))
-    n[:: lm.CONTEXTS] += 1
-    w = lm.Words([lm.pack(words, np.arange(40), np.full(40, lm.CONTEXTS), u, n)])
-    types = int((w.total > 0).sum())
-    customers, tables = np.bincount(w.u, w.n), np.bincount(w.u, w.n > 0)
-    s = lm.Sizes(customers, tables, tables.sum(), types, types, 0.7, 0.6)
-    for t, t0 in w.seatings(s, 3):
-        assert (t <= w.n).all() and ((t >= 1) == (w.n >= 1)).all()
-        c0 = np.bincount(w.of, t)
-        now = lm.Sizes(customers, np.bincount(w.u, t), c0.sum(), t0.sum(), types, 0.7, 0.6)
-        root = now.root(c0, t0)
-        new = now.root(np.zeros(1), np.zeros(1))[0]
-        assert root.sum() + new == pytest.approx(1)
-        for c in range(lm.CONTEXTS):
-            m = w.u == c
-            p = (np.maximum(w.n[m] - 0.7 * t[m], 0) + (lm.STRENGTH + 0.7 * now.tables[c]) * root[w.of[m]]) / (lm.STRENGTH + customers[c])
-            assert p.sum() + (lm.STRENGTH + 0.7 * now.tables[c]) * new / (lm.STRENGTH + customers[c]) == pytest.approx(1)
-
-
-def test_seating_follows_the_restaurant_process():
-    c, a = np.full(4000, 20), np.full(4000, 3.0)
-    key = np.random.default_rng(0).integers(0, 2**63, 4000).astype(np.uint64)
-    got = lm.seat(c, a, 0.0, key, 1).mean()
-    assert got == pytest.approx(sum(3 / (3 + i) for i in range(20)), rel=0.03)
+    rng, contexts, d = np.random.default_rng(2), [0, 3, 256 + 3, 512 + 4, 7], (0.7, 0.6, 0.5)
+    w = bucket({(i, u): int(rng.poisson(0.8)) + (u == 0) for i in range(40) for u in contexts})
+    seated = w.start()
+    for k in range(3):
+        seated = w.sweep(seated, sized(w, seated, d), k)
+        n1, n0 = w.sent(*seated[:2])
+        for c, t in ((w.n, seated[0]), (n1, seated[1]), (n0, seated[2])):
+            assert (t <= c).all() and ((t >= 1) == (c >= 1)).all()
+        s = sized(w, seated, d)
+        p, zero, none = w.predicted(seated, s), np.zeros(1, int), np.zeros(1)
+        new = s.chance(2, zero, none, none, 1 / 41)
+        for u in contexts:
+            last = s.chance(0, np.array([u]), none, none, s.chance(1, np.array([u % 256]), none, none, new))
+            assert p[w.u == u].sum() + last[0] == pytest.approx(1)
+
+
+def one_by_one(counts, d, sweeps, rng):
+    """The same model with every customer at a table of its own record, removed and seated again one after another."""
+    words = sorted({w for w, _ in counts})
+    base = 1 / (len(words) + 1)
+    tables = {}  # (level, restaurant) -> word -> sizes
+    up = lambda r: (1, r[1] % 256) if r[0] == 0 else (2, 0)
+
+    def chance(r, w):
+        mine = tables.setdefault(r, {})
+        c, t, of = sum(sum(x) for x in mine.values()), sum(len(x) for x in mine.values()), mine.get(w, [])
+        rest = base if r[0] == 2 else chance(up(r), w)
+        return (sum(of) - d[r[0]] * len(of) + (lm.STRENGTH + d[r[0]] * t) * rest) / (lm.STRENGTH + c)
+
+    def add(r, w):
+        mine = tables.setdefault(r, {})
+        of, t = mine.setdefault(w, []), sum(len(x) for x in mine.values())
+        rest = base if r[0] == 2 else chance(up(r), w)
+        odds = [n - d[r[0]] for n in of] + [(lm.STRENGTH + d[r[0]] * t) * rest]
+        k = rng.choice(len(odds), p=np.array(odds) / sum(odds))
+        if k < len(of):
+            of[k] += 1
+        else:
+            of.append(1)
+            if r[0] < 2:
+                add(up(r), w)
+
+    def remove(r, w):
+        of = tables[r][w]
+        k = rng.choice(len(of), p=np.array(of) / sum(of))
+        of[k] -= 1
+        if not of[k]:
+            of.pop(k)
+            if r[0] < 2:
+                remove(up(r), w)
+
+    every = [((0, u), w) for (w, u), n in counts.items() for _ in range(n)]
+    for r, w in every:
+        add(r, w)
+    mean = dict.fromkeys(counts, 0.0)
+    for k in range(sweeps + 20):
+        for r, w in every:
+            remove(r, w)
+            add(r, w)
+        if k >= 20:
+            for w, u in counts:
+                mean[w, u] += chance((0, u), w) / sweeps
+    return mean
+
+
+def test_the_chain_agrees_with_customers_seated_one_by_one():
+    rng, d = np.random.default_rng(6), (0.6, 0.5, 0.4)
+    counts = {(w, u): int(rng.integers(0, 6)) + 60 * (w == 0 and u == 3) for w in range(5) for u in (3, 256 + 3, 4)}
+    want = one_by_one(counts, d, 400, rng)
+    w = bucket(counts)
+    seated, mean, n = w.start(), 0, 1500
+    for k in range(n + 20):
+        seated = w.sweep(seated, sized(w, seated, d), k)
+        if k >= 20:
+            mean = mean + w.predicted(seated, sized(w, seated, d)) / n
+    got = dict(zip(((int(np.flatnonzero(w.names == np.uint64(lm.xxhash.xxh64_intdigest(str(v))))[0]), u) for v, u in counts), counts, strict=True))
+    assert {got[int(o), int(u)]: float(m) for o, u, m in zip(w.of, w.u, mean, strict=True)} == pytest.approx(want, rel=0.06)
+
+
+def test_many_customers_are_seated_as_exact_numbers_say(monkeypatch):
+    """The saddle point against the exact distribution, which goes through all numbers of tables."""
+    n, d = 4000, 0.6
+    key = np.random.default_rng(0).integers(0, 2**63, n).astype(np.uint64)
+    full = lambda x: np.full(n, x)
+    draw = lambda: lm.seat(full(120), full(40.0), d, full(0.3), full(30.0), full(0.9), 1, key, 3)
+    fast = draw()
+    monkeypatch.setattr(lm, "EXACT", 130)
+    lm.table_ratios.cache_clear()
+    slow = draw()
+    lm.table_ratios.cache_clear()
+    assert fast.mean() == pytest.approx(slow.mean(), rel=0.06) and fast.std() == pytest.approx(slow.std(), rel=0.15)
