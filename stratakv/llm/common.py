@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, as spark.checkpoint.dir names it; a folder of ours only where that is unset."""
+    """The cluster's shared folder, as spark.checkpoint.dir names it. Only a local session may do without."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "/tmp/checkpoints/stratakv"
     return where.rstrip("/")
 
@@ -154,14 +156,15 @@ SAMPLE_TEXT_BYTES = 100_000
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, mod: int, out: int, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> list[tuple[str, int]]:
     """(text, label) of at most `rows` labelled documents, in the order of a hash of their ids.
 
-    Rows whose crc32 remainder by `mod` is `out` are held out. Null ids, texts and labels are passed over. The ids are
-    thinned out by their hash before they are ordered, so that few of each partition reach the driver; they are
-    broadcast, and no text is shuffled.
+    Rows whose crc32 remainder by `mod` is `out` are held out. Null ids, texts and labels are passed over, and so are
+    texts beyond SAMPLE_TEXT_BYTES. An id that is labelled twice counts with its greatest label; of documents that share
+    an id the one with the least hash of its text is taken. The ids are thinned out by their hash before they are
+    ordered, so that few of each partition reach the driver; they are broadcast, and only their texts are shuffled.
     """
     own = labels.select(F.col(id_col).cast("string").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
     own = own.where(remainder("id", mod) != out).withColumn("place", F.pmod(F.xxhash64("id"), F.lit(1 << 40)))
     share = min(1.0, 1.3 * rows / max(1, own.count()))
-    own = own.where(F.col("place") <= int(share * (1 << 40))).orderBy("place", "id", "y").limit(rows).select("id", "y")
+    own = own.where(F.col("place") <= int(share * (1 << 40))).groupBy("place", "id").agg(F.max("y").alias("y")).orderBy("place", "id").limit(rows).select("id", "y")
     texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("t")).where(F.octet_length("t") <= SAMPLE_TEXT_BYTES)
-    found = texts.join(F.broadcast(own), "id").select("id", "t", "y").limit(2 * rows).collect()
-    return [(r["t"], int(r["y"] > 0)) for r in sorted(found, key=lambda r: (r["id"], r["t"], r["y"]))]
+    found = texts.join(F.broadcast(own), "id").groupBy("id", "y").agg(F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t")).collect()
+    return [(r["t"], int(r["y"] > 0)) for r in sorted(found, key=lambda r: r["id"])]
