@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 
 from .common import map_text, remainder
 
-#: The classifiers are fitted on about this many labelled rows a language, chosen by hash, of at most so many bytes each.
-SAMPLE_PER_LANGUAGE = 600
+#: The classifiers are fitted on about this many labelled rows a language, chosen by hash, of at most so many bytes each;
+#: on fewer a language, but no less than LEAST_PER_LANGUAGE, where there are more languages than make SAMPLE_ROWS in all.
+SAMPLE_PER_LANGUAGE, SAMPLE_ROWS, LEAST_PER_LANGUAGE = 600, 6000, 20
 SAMPLE_TEXT_BYTES = 100_000
-#: Languages that can be told apart at most; the codebook and the sample grow with them.
-MAX_LANGUAGES = 200
 BUCKETS = 1 << 13
 ORDERS = (1, 2, 3)
 #: Bytes of a text that are hashed at a time.
@@ -140,16 +139,22 @@ class Model:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: tuple[int, int] = (4, 2)) -> Model:
-    """Fits on a sample of rows with a language whose crc32 remainder is not the held-out one; one scan, no shuffle of texts."""
+    """Fits on a sample of rows with a language whose crc32 remainder is not the held-out one; one scan, texts of the sample alone are shuffled.
+
+    A row is in the sample by the hash of its id and text; rows equal in both count once. Every language is learned. The
+    sample is bounded by the number of languages, and so are the rows that reach the driver.
+    """
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("g"))
     rows = rows.where(remainder("id", held_out[0]) != held_out[1]).where("g is not null and t is not null")
     rows = rows.where(F.octet_length("t") <= SAMPLE_TEXT_BYTES)
-    counts = {r["g"]: r["count"] for r in rows.groupBy("g").count().orderBy(F.desc("count"), "g").limit(MAX_LANGUAGES).collect()}
-    if not counts:
+    counts = rows.groupBy("g").count()
+    known = counts.count()
+    if not known:
         return Model([], codebook(0), np.zeros((BUCKETS, 1), np.float32), np.zeros(1, np.float32), np.ones(1))
-    share = F.create_map(*[F.lit(v) for g, n in counts.items() for v in (g, min(1.0, SAMPLE_PER_LANGUAGE / n))])
-    place = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003
-    sample = rows.where(place < F.element_at(share, F.col("g"))).limit(2 * SAMPLE_PER_LANGUAGE * len(counts)).select("id", "t", "g").collect()
+    each = max(LEAST_PER_LANGUAGE, min(SAMPLE_PER_LANGUAGE, SAMPLE_ROWS // known))
+    shares = F.broadcast(counts.select(F.col("g").alias("of"), (F.lit(float(each)) / F.col("count")).alias("share")))
+    place = F.pmod(F.xxhash64("id", "t"), F.lit(1_000_003)) / 1_000_003
+    sample = rows.join(shares, F.col("g") == F.col("of")).where(place < F.col("share")).select("id", "t", "g").distinct().collect()
     sample.sort(key=lambda r: (r["g"], r["id"] or "", r["t"]))
     return Model.fit([r["t"] for r in sample], [r["g"] for r in sample])
 
@@ -158,7 +163,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """One row a document: id (and the columns of `keep`, which must have other names), lang_pred, score, ambiguous, accepted.
 
     Texts that are null or have no letter are `und` with score 0; so is all if nothing was learned. Accepted is a text
-    with a letter that is not too far from all codewords; where nothing was learned, any text with a letter.
+    with a letter that is not too far from all codewords; where nothing was learned, any text with a letter. Long texts
+    are read whole; repeated rows and rows without an id are judged each. No rows in, no rows out.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows of a float a bit
 
