@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Table, bounded, lookup, map_text, text_hash
@@ -16,6 +16,8 @@ from .components import connected_components
 BITS, DISTANCE, SHINGLE, SEED = 64, 4, 4, 42
 #: Buckets of up to so many fingerprints give all their pairs; larger ones first link to their least member.
 PAIRS_UP_TO = 24
+#: Fingerprints of one key that are compared with as many others in one group of rows.
+PART = 2000
 #: Shingles that are hashed before their bits are summed.
 BLOCK = 1 << 14
 
@@ -93,9 +95,9 @@ def links(fps: DataFrame, count: int) -> DataFrame:
     masks = variants(choose_segments(count))
     each = fps.select("fp", F.posexplode(F.lit([_signed(m) for m in masks])).alias("tag", "mask"))
     keyed = each.select("fp", F.xxhash64("tag", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
-    w = Window.partitionBy("key")
-    size = F.count("*").over(w)
-    buckets = Table(keyed.select("fp", "key", size.alias("n"), F.min("fp").over(w).alias("least")).where("n > 1"), "buckets").df
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1")
+    sizes = Table(sizes, "bucket-sizes").df
+    buckets = Table(lookup(keyed, sizes, ["key"], "n", count * len(masks)).where("n > 1"), "buckets").df
     few = buckets.where(F.col("n") <= PAIRS_UP_TO).select("fp", "key")
     pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & _near("x.fp", "y.fp"))
     pairs = pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
@@ -108,8 +110,18 @@ def links(fps: DataFrame, count: int) -> DataFrame:
     own = many.select("fp", "key").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "key", F.coalesce("root", "fp").alias("root"))
     own = Table(own, "bucket-roots").df
     split = own.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    open_ = Table(own.join(split, "key", "left_semi"), "open-buckets").df
-    rest = open_.alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & _near("x.fp", "y.fp"))
+    # Within a bucket, fingerprints within DISTANCE bits agree in one of DISTANCE + 1 segments of all bits, which cut it up
+    # further; what then shares a key is met in a square of parts, so that no task has all of a hot one.
+    pieces = F.lit([_signed(m) for m in segments(DISTANCE + 1)])
+    fine = own.join(split, "key", "left_semi").select("fp", "root", "key", F.posexplode(pieces).alias("tag", "mask"))
+    fine = Table(fine.select("fp", "root", F.xxhash64("key", "tag", F.col("fp").bitwiseAND(F.col("mask"))).alias("key")), "open-buckets").df
+    parts = fine.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key", "parts")
+    fine = Table(lookup(fine, parts, ["key"], "parts", fine.count() // PART).where("parts is not null").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts"))), "open-parts").df
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    x = fine.select("fp", "root", "key", F.col("part").cast("int").alias("row"), F.explode(every).alias("col"))
+    y = fine.select("fp", "root", "key", F.explode(every).alias("row"), F.col("part").cast("int").alias("col"))
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "row", "col")]
+    rest = x.alias("x").join(y.alias("y"), [*same, F.col("x.root") < F.col("y.root"), _near("x.fp", "y.fp")])
     return found.unionByName(rest.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct())
 
 
