@@ -22,10 +22,19 @@ def prefix_successor(prefix: bytes) -> bytes | None:
     return kept[:-1] + bytes([kept[-1] + 1]) if kept else None
 
 
-def prefix_range(col: Column, prefix: str) -> Column:
-    """Keys with the prefix, as the range up to its successor; for binary keys and prefixes of ASCII."""
-    end = prefix_successor(prefix.encode())
-    return between(col, prefix, end.decode("latin-1") if end is not None else None, True, False)
+def prefix_end(prefix: str) -> str | None:
+    """The least string, in the order of code points, above all with the prefix; None if there is none. UTF-8 sorts alike."""
+    kept = prefix.rstrip("\U0010ffff")
+    if not kept:
+        return None
+    after = ord(kept[-1]) + 1
+    return kept[:-1] + chr(0xE000 if after == 0xD800 else after)  # surrogates are no characters
+
+
+def prefix_range(col: Column, prefix: str | bytes) -> Column:
+    """Keys with the prefix, as the range up to its successor; strings by code points, binary keys by bytes."""
+    end = prefix_successor(prefix) if isinstance(prefix, bytes) else prefix_end(prefix)
+    return between(col, prefix, end, True, False)
 
 
 def overlap(a_lo: Column, a_lo_inc: Column, a_hi: Column, a_hi_inc: Column, b_lo: Column, b_lo_inc: Column, b_hi: Column, b_hi_inc: Column) -> Column:

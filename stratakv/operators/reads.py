@@ -23,6 +23,13 @@ def newest(log: DataFrame, at: int | None = None, key: str = "k", order: str = "
     return out.select(*rows.columns)
 
 
+def retained(log: DataFrame, oldest: int | None = None) -> DataFrame:
+    """What compaction keeps: the newest version of each key as of `oldest`, the oldest read point in use, and all later ones."""
+    if oldest is None:
+        return newest(log)
+    return newest(log, oldest).unionByName(log.where(F.col("ts") > F.lit(oldest)))
+
+
 def live(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("op") != DELETE).drop("op")
 
