@@ -1,7 +1,9 @@
 """Language-model scoring: a hierarchical Pitman-Yor model with Chinese-restaurant seating sampled by Gibbs.
 
-A token's context is the ending of the word before it. Restaurants of two-byte endings send their tables as customers to
-those of one-byte endings, and these to the root: a longer context backs off to a shorter one. Texts are read once. A
+A token's context is the word before it, as one of 65536 classes that a hash of the whole word gives. Restaurants of
+these send their tables as customers to those of the word's last byte, and these to the root: a longer context backs
+off to a shorter one. Within one dish two preceding words rarely share a class, so its counts are in effect those of
+word pairs, at two bytes a pair. Texts are read once. A
 task turns its documents into blocks of bounded size: the tokens as numbers of (word, context) pairs, and the distinct
 words with their counts by context, packed by bucket of the word's hash. Only these are dealt out. In a bucket a word's
 counts from all blocks and contexts meet, so a dish has all its seatings in one place; a sweep draws the tables of every
@@ -26,13 +28,16 @@ from pyspark.sql import functions as F
 
 from .common import Table, remainder, small_batches
 
-#: Contexts: the last two bytes of the word before, without closing punctuation, as a number; 0 at the start of a text.
-CONTEXTS, PARENTS = 1 << 16, 1 << 8
+#: Contexts: ten bits of the hash of the word before, and the low bits of its last byte without closing punctuation,
+#: which alone are the parent's context; 0 at the start of a text.
+CONTEXTS, PARENTS = 1 << 16, 1 << 6
 #: A block ends with the document that brings it to so many tokens or distinct words.
 BLOCK_TOKENS, BLOCK_WORDS = 3_000_000, 350_000
 #: Sweeps of the chain, and how many seatings at its end predictions are averaged over.
 SWEEPS, SAMPLES = 3, 2
 STRENGTH = 1.0
+#: Logarithms of predictions go back to the blocks as whole numbers of steps, so one is off by at most 1 / (2 * LOG_STEPS).
+LOG_STEPS = 4096
 #: Customers of a dish up to which the number of its tables is drawn by going through all numbers.
 EXACT = 48
 #: Bytes of text a bucket of words; a bucket's words are in one task's memory together. And bytes of text a task.
@@ -44,7 +49,7 @@ _DOCS = pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())]))
 
 
 def context_of(word: bytes) -> int:
-    return int.from_bytes((word.rstrip(b".,;:!?") or word)[-2:], "big")
+    return xxhash.xxh32_intdigest(word, 0) % (CONTEXTS // PARENTS) * PARENTS + (word.rstrip(b".,;:!?") or word)[-1] % PARENTS
 
 
 class Block:
@@ -92,7 +97,13 @@ class Block:
         data = [pack(hashes[o], o, asked[o], codes[at := spread(asked, o)] % CONTEXTS, counts[at]) for o in np.split(order, cuts)]
         which = bucket[order][np.concatenate([[0], cuts])].astype(np.int32)
         yield _batch(np.full(len(which), number, np.int64), which, data, [None] * len(which))
-        yield _batch(np.array([number]), np.array([-1], np.int32), [pack(asked, pair)], [[{"id": d, "n": n} for d, n, _ in self.docs]])
+        # A score is a sum over a document's pairs, so they are kept in order, as the steps from one to the next.
+        doc = np.repeat(np.arange(len(lens)), lens)
+        pair = np.sort(doc * len(codes) + pair) - doc * len(codes)
+        steps = np.diff(pair, prepend=0)
+        first = np.cumsum(lens) - lens
+        steps[first] = pair[first]
+        yield _batch(np.array([number]), np.array([-1], np.int32), [pack(asked, steps)], [[{"id": d, "n": n} for d, n, _ in self.docs]])
 
 
 BLOCK_ROWS = "block long, bucket int, data binary, docs array<struct<id: long, n: long>>"
@@ -409,7 +420,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     def answer(w: Words, blocks_: list[int]) -> pa.RecordBatch:
         seatings = list(w.chain(sizes[:-1]))[-SAMPLES:] or [w.start()]
         p = sum(w.predicted(x, s) for x, s in zip(seatings, sizes[-len(seatings) :], strict=True)) / len(seatings)
-        logs = np.log10(np.maximum(p, 1e-300))[w.pair].astype("<f4")
+        logs = np.minimum(np.round(np.log10(np.maximum(p, 1e-300)) * -LOG_STEPS), 65535).astype("<u2")[w.pair]
         ends = np.cumsum(w.rows)[:-1]
         pairs = np.cumsum(np.add.reduceat(w.asked, np.concatenate([[0], ends])))[:-1]
         parts = zip(np.split(w.place, ends), np.split(w.total[w.of_row], ends), np.split(logs, pairs), strict=True)
@@ -421,17 +432,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     least = float(np.log10(tokens + types + 1))
 
     def scored(text: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        asked, token = unpack(text["data"].iloc[0])
+        asked, steps = unpack(text["data"].iloc[0])
         asked = asked.astype(np.int64)
         place, count, log = (np.concatenate(x) for x in zip(*map(unpack, found["data"]), strict=True))
         place = place.astype(np.int64)
         logs, n = np.empty(len(log)), np.empty(len(place))
-        logs[spread(asked, place)] = log
+        logs[spread(asked, place)] = log / -LOG_STEPS
         n[place] = count
         word = np.repeat(np.arange(len(asked)), asked)
         own = text["docs"].iloc[0]
         lens = np.array([d["n"] for d in own])
-        at = np.concatenate([[0], np.cumsum(lens)[:-1]])
+        at = np.cumsum(lens) - lens
+        run = np.cumsum(steps.astype(np.int64))
+        token = run - np.repeat(run[at] - steps[at].astype(np.int64), lens)
         add = lambda x: np.add.reduceat(x[token], at)
         total = add(logs)
         return pd.DataFrame({

@@ -72,7 +72,7 @@ def sized(w, seated, d):
 
 def test_predictions_sum_to_one():
     """Over all words and the one new word, in every context, for any seating."""
-    rng, contexts, d = np.random.default_rng(2), [0, 3, 256 + 3, 512 + 4, 7], (0.7, 0.6, 0.5)
+    rng, contexts, d = np.random.default_rng(2), [0, 3, lm.PARENTS + 3, 2 * lm.PARENTS + 4, 7], (0.7, 0.6, 0.5)
     w = bucket({(i, u): int(rng.poisson(0.8)) + (u == 0) for i in range(40) for u in contexts})
     seated = w.start()
     for k in range(3):
@@ -84,7 +84,7 @@ def test_predictions_sum_to_one():
         p, zero, none = w.predicted(seated, s), np.zeros(1, int), np.zeros(1)
         new = s.chance(2, zero, none, none, 1 / 41)
         for u in contexts:
-            last = s.chance(0, np.array([u]), none, none, s.chance(1, np.array([u % 256]), none, none, new))
+            last = s.chance(0, np.array([u]), none, none, s.chance(1, np.array([u % lm.PARENTS]), none, none, new))
             assert p[w.u == u].sum() + last[0] == pytest.approx(1)
 
 
@@ -93,7 +93,7 @@ def one_by_one(counts, d, sweeps, rng):
     words = sorted({w for w, _ in counts})
     base = 1 / (len(words) + 1)
     tables = {}  # (level, restaurant) -> word -> sizes
-    up = lambda r: (1, r[1] % 256) if r[0] == 0 else (2, 0)
+    up = lambda r: (1, r[1] % lm.PARENTS) if r[0] == 0 else (2, 0)
 
     def chance(r, w):
         mine = tables.setdefault(r, {})
@@ -139,7 +139,7 @@ def one_by_one(counts, d, sweeps, rng):
 
 def test_the_chain_agrees_with_customers_seated_one_by_one():
     rng, d = np.random.default_rng(6), (0.6, 0.5, 0.4)
-    counts = {(w, u): int(rng.integers(0, 6)) + 60 * (w == 0 and u == 3) for w in range(5) for u in (3, 256 + 3, 4)}
+    counts = {(w, u): int(rng.integers(0, 6)) + 60 * (w == 0 and u == 3) for w in range(5) for u in (3, lm.PARENTS + 3, 4)}
     want = one_by_one(counts, d, 400, rng)
     w = bucket(counts)
     seated, mean, n = w.start(), 0, 1500
@@ -163,3 +163,19 @@ def test_many_customers_are_seated_as_exact_numbers_say(monkeypatch):
     slow = draw()
     lm.table_ratios.cache_clear()
     assert fast.mean() == pytest.approx(slow.mean(), rel=0.06) and fast.std() == pytest.approx(slow.std(), rel=0.15)
+
+
+def test_a_text_that_occurs_twice_is_told_apart(spark):
+    """Word contexts: all words are as frequent in single texts as in double ones, only what follows them is not."""
+    rng = np.random.default_rng(8)
+    rows, i = [], 0
+    while len(rows) < 400:
+        text = " ".join(f"w{int(x)}" for x in rng.integers(0, 3000, 80))
+        for _ in range(1 + (i % 2)):
+            rows.append((len(rows), text, i % 2))
+        i += 1
+    got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string, twice int").drop("twice")).collect()}
+    seen = {t: [i for i, u, _ in rows if u == t and not held(i)] for _, t, _ in rows}
+    twice = [got[i] for i, t, _ in rows if len(seen[t]) == 2 and not held(i)]
+    once = [got[i] for i, t, _ in rows if len(seen[t]) == 1 and not held(i)]
+    assert np.quantile(twice, 0.05) > np.quantile(once, 0.95)
