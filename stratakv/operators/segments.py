@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import BLOCK_BYTES, BLOOM_PROBES
+from ..schema import BLOCK_BYTES, BLOOM_BITS_PER_KEY, BLOOM_PROBES
 from .reads import as_of, running_sum
 
 
@@ -33,32 +33,38 @@ def prune(probes: DataFrame, zones: DataFrame, at: str) -> DataFrame:
 
 
 class Bloom:
-    """A bloom filter of a fixed number of bits, built and probed with column functions."""
+    """A bloom filter, built and probed with column functions. Its bits travel as one binary literal."""
 
-    def __init__(self, words: list[int], bits: int, probes: int):
-        self.words, self.bits, self.probes = words, bits, probes
+    #: Bits at most, 8 MB. A filter for more keys than that is good for lets more rows through, never fewer.
+    MOST_BITS = 1 << 26
+
+    def __init__(self, data: bytes, probes: int):
+        self.data, self.bits, self.probes = data, 8 * len(data), probes
 
     @staticmethod
-    def places(key: str, bits: int, probes: int):
+    def places(key: str, bits: int, probes: int) -> Column:
         return F.array(*[F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(bits)) for i in range(probes)])
 
     @classmethod
-    def build(cls, rows: DataFrame, key: str, bits: int = 1 << 17, probes: int = BLOOM_PROBES) -> Bloom:
-        """bits/64 words come to the driver, whatever the number of rows."""
+    def build(cls, rows: DataFrame, key: str, bits: int | None = None, probes: int = BLOOM_PROBES) -> Bloom:
+        """Sized for the number of rows, unless `bits` says otherwise. bits/64 words at most come to the driver."""
+        if bits is None:
+            bits = 1 << min(max(10, (rows.count() * BLOOM_BITS_PER_KEY - 1).bit_length()), cls.MOST_BITS.bit_length() - 1)
         at = rows.select(F.explode(cls.places(key, bits, probes)).alias("at"))
         words = at.groupBy(F.expr("cast(at div 64 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("w"))
-        out = [0] * (bits // 64)
+        out = bytearray(bits // 8)
         for r in words.collect():
-            out[r["word"]] = r["w"]
-        return cls(out, bits, probes)
+            out[8 * r["word"] : 8 * r["word"] + 8] = r["w"].to_bytes(8, "little", signed=True)
+        return cls(bytes(out), probes)
 
     def may_contain(self, rows: DataFrame, key: str) -> DataFrame:
-        """The rows that the filter lets through: all that it was built with, and few others."""
-        spark: SparkSession = rows.sparkSession
-        words = F.broadcast(spark.createDataFrame([(self.words,)], "words array<long>"))
-        at = rows.withColumn("places", self.places(key, self.bits, self.probes))
-        hit = "forall(places, p -> (shiftright(element_at(words, cast(p div 64 as int) + 1), cast(p % 64 as int)) & 1) = 1)"
-        return at.join(words, F.expr("size(words) > 0")).where(hit).drop("words", "places")
+        """The rows that the filter lets through: all that it was built with, and about one in a hundred others."""
+        hit = F.lit(True)
+        for i in range(self.probes):
+            place = F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(self.bits))
+            byte = F.conv(F.hex(F.substring(F.lit(self.data), F.shiftright(place, 3).cast("int") + 1, 1)), 16, 10).cast("int")
+            hit = hit & (F.call_function("shiftright", byte, place.bitwiseAND(7).cast("int")).bitwiseAND(1) == 1)
+        return rows.where(hit)
 
 
 def checksums(rows: DataFrame, id_col: str, payload: str) -> DataFrame:

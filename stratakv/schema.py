@@ -20,6 +20,7 @@ BLOOM_BITS_PER_KEY, BLOOM_PROBES = 10, 7
 SEGMENT_BYTES, KEEP_SEGMENTS = 64 << 20, 2
 WARN_LOCKS, ESCALATE_LOCKS, FORCE_LOCKS = 1000, 5000, 10000
 LOGICAL_BITS = 18
+LOCK_TIMEOUT = 10.0
 
 # Lock modes, the pairs of them that go together, and the legal upgrades.
 MODES = ("S", "X", "IS", "IX", "SIX")
@@ -47,3 +48,27 @@ class ConflictError(StoreError):
     def __init__(self, verdict: str):
         super().__init__(verdict)
         self.verdict = verdict
+
+
+class LockError(StoreError):
+    """A lock that is not granted."""
+
+    message = "lock error"
+
+    def __init__(self):
+        super().__init__(self.message)
+
+
+# What each says.
+def _lock_error(name: str, message: str) -> type[LockError]:
+    return type(name, (LockError,), {"message": message, "__doc__": message})
+
+
+LockTimeoutError = _lock_error("LockTimeoutError", "lock acquisition timed out")
+DeadlockError = _lock_error("DeadlockError", "deadlock detected")
+TransactionAbortedError = _lock_error("TransactionAbortedError", "transaction was aborted")
+EscalationError = _lock_error("EscalationError", "lock escalation failed")
+RangeConflictError = _lock_error("RangeConflictError", "range lock conflict")
+RangeLocksDisabledError = _lock_error("RangeLocksDisabledError", "range locks are disabled")
+NotHeldError = _lock_error("NotHeldError", "lock not held by transaction")
+InvalidUpgradeError = _lock_error("InvalidUpgradeError", "invalid lock upgrade path")

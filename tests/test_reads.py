@@ -121,6 +121,14 @@ def test_bloom_has_no_false_negatives(spark):
     assert set(range(0, 3000, 3)) <= passed and len(passed) < 1200
 
 
+def test_bloom_is_sized_for_its_keys(spark):
+    have = spark.range(4000).withColumnRenamed("id", "k")
+    bloom = segments.Bloom.build(have, "k")
+    assert bloom.bits == 1 << 16
+    others = spark.range(10_000, 30_000).withColumnRenamed("id", "k")
+    assert bloom.may_contain(have, "k").count() == 4000 and bloom.may_contain(others, "k").count() < 20_000 * 0.02
+
+
 def test_checksums(spark):
     df = spark.createDataFrame([(1, "123456789"), (2, "x"), (3, None)], "id long, t string")
     stored = segments.checksums(df, "id", "t")
