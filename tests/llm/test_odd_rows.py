@@ -1,0 +1,57 @@
+"""Rows without an id, rows repeated whole, and ids shared by different texts: each operator gives every row its result."""
+
+from collections import Counter
+
+import public_tokenizers
+import pytest
+
+from stratakv.llm import bpe, exact_dedup, language_id, language_model, mixing, quality_classifier, quality_rules, simhash, toxicity
+
+LONG = " ".join(f"word{i % 90} and more of it" for i in range(60))
+ROWS = [
+    (None, LONG, "en", "a"), (None, LONG, "en", "a"), (None, "other words here", None, None), (1, LONG + " end", "en", "a"), (1, LONG + " end", "en", "a"),
+    (2, "shared id one", "fr", "b"), (2, "shared id two " + LONG, "fr", "b"), (3, None, None, "b"), (3, "", "en", None), (4, "shared id one", "de", "b"),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 0, 1), (4, 0, 1), (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+
+
+OPERATORS = {
+    "language_id": lambda d, _: language_id.identify(d, language_id.train(d)),
+    "simhash": lambda d, _: simhash.near_duplicates(d),
+    "exact_dedup": lambda d, _: exact_dedup.exact_dedup(d),
+    "language_model": lambda d, _: language_model.score(d),
+    "quality_rules": lambda d, _: quality_rules.judge(d),
+    "mixing": lambda d, _: mixing.mix(d),
+    "bpe": lambda d, _: bpe.encode(d, public_tokenizers.path("byte_bpe_50k.json")),
+    "quality_classifier": lambda d, y: quality_classifier.classify(d, quality_classifier.train(d, y)),
+    "toxicity": lambda d, y: toxicity.classify(d, toxicity.train(d, y)),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_every_row_gets_its_result(odd, labels, name):
+    got = OPERATORS[name](odd, labels).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in ROWS)
+    if name in ("language_id", "language_model", "quality_rules", "bpe", "quality_classifier", "toxicity"):
+        twice = [r for r in got if r["doc_id"] == 1]
+        assert twice[0] == twice[1]
+
+
+def test_what_stays(odd):
+    texts = lambda df: Counter(r["text"] for r in df.collect())
+    exact = texts(exact_dedup.kept_documents(odd))
+    assert set(exact) == {LONG, "other words here", LONG + " end", "shared id one", "shared id two " + LONG, "", None} - ({None} if None not in exact else {""} if "" not in exact else set())
+    assert exact[LONG + " end"] == 1
+    near = texts(simhash.kept_documents(odd))
+    assert near[LONG] == 2 and near["other words here"] == 1 and near["shared id one"] == 1
+    mixed = texts(mixing.mixed_documents(odd, weights=(1,)))
+    assert {LONG, "other words here", LONG + " end", "shared id one", "shared id two " + LONG} == set(mixed)
