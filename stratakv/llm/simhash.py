@@ -16,8 +16,6 @@ from .components import connected_components
 BITS, DISTANCE, SHINGLE, SEED = 64, 4, 4, 42
 #: Buckets of up to so many fingerprints give all their pairs; larger ones first link to their least member.
 PAIRS_UP_TO = 24
-#: Fingerprints of one key that are compared with as many others in one group of rows.
-PART = 2000
 #: Shingles that are hashed before their bits are summed.
 BLOCK = 1 << 14
 
@@ -109,20 +107,15 @@ def links(fps: DataFrame, count: int) -> DataFrame:
     roots = connected_components(found)
     own = many.select("fp", "key").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "key", F.coalesce("root", "fp").alias("root"))
     own = Table(own, "bucket-roots").df
-    split = own.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    # Within a bucket, fingerprints within DISTANCE bits agree in one of DISTANCE + 1 segments of all bits, which cut it up
-    # further; what then shares a key is met in a square of parts, so that no task has all of a hot one.
-    pieces = F.lit([_signed(m) for m in segments(DISTANCE + 1)])
-    fine = own.join(split, "key", "left_semi").select("fp", "root", "key", F.posexplode(pieces).alias("tag", "mask"))
-    fine = Table(fine.select("fp", "root", F.xxhash64("key", "tag", F.col("fp").bitwiseAND(F.col("mask"))).alias("key")), "open-buckets").df
-    parts = fine.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key", "parts")
-    fine = Table(lookup(fine, parts, ["key"], "parts", fine.count() // PART).where("parts is not null").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts"))), "open-parts").df
-    every = F.sequence(F.lit(0), F.col("parts") - 1)
-    x = fine.select("fp", "root", "key", F.col("part").cast("int").alias("row"), F.explode(every).alias("col"))
-    y = fine.select("fp", "root", "key", F.explode(every).alias("row"), F.col("part").cast("int").alias("col"))
-    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "row", "col")]
-    rest = x.alias("x").join(y.alias("y"), [*same, F.col("x.root") < F.col("y.root"), _near("x.fp", "y.fp")])
-    return found.unionByName(rest.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct())
+    # In a bucket of several components only those besides its largest, which are few as a rule, are met with all the rest.
+    shares = own.groupBy("key", "root").agg(F.count("*").alias("rows"))
+    split = shares.groupBy("key").agg(F.max_by("root", "rows").alias("largest"), F.count("*").alias("roots")).where("roots > 1").select("key", "largest")
+    split = bounded(Table(split, "open-keys").df)
+    strays = Table(own.join(split, "key").where("root <> largest").select("fp", "key", "root"), "strays").df
+    if strays.isEmpty():
+        return found
+    rest = own.alias("y").join(bounded(strays).alias("x"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _near("x.fp", "y.fp"))
+    return found.unionByName(rest.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
