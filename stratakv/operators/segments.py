@@ -6,24 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import BLOCK_BYTES, BLOOM_BITS_PER_KEY, BLOOM_PROBES
-from .reads import as_of, running_sum
+from .packing import packed
+from .reads import as_of
 
 
 def flush_runs(log: DataFrame, threshold: int, size: str = "size") -> DataFrame:
-    """The log in runs of about `threshold` bytes, in order of ts: run, rows, bytes, first and last ts."""
-    summed = running_sum(log, "ts", size, "upto")
-    run = F.expr(f"(upto - {size}) div {threshold}")
-    return summed.groupBy(run.alias("run")).agg(F.count("*").alias("n_rows"), F.sum(size).alias("n_bytes"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    """The log in runs, each ended by the record that brings it to `threshold` bytes: run, rows, bytes, first and last ts."""
+    placed = packed(log, threshold, "ts", size, overfull=True)
+    return placed.groupBy("run").agg(F.count("*").alias("n_rows"), F.sum(size).alias("n_bytes"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
 def zone_map(rows: DataFrame, order: str, key: str = "k", size: str = "size", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of sorted entries: block_id, least and greatest key, entries and bytes."""
-    summed = running_sum(rows, order, size, "upto")
-    block = F.expr(f"(upto - {size}) div {block_bytes}")
-    return summed.groupBy(block.alias("block_id")).agg(
-        F.min(key).alias("min_key"), F.max(key).alias("max_key"), F.count("*").alias("n_entries"), F.sum(size).alias("n_bytes"),
-        F.min(order).alias("min_at"), F.max(order).alias("max_at"),
-    )
+    """Blocks of sorted entries, each ended by the entry that brings it to `block_bytes`: block_id, least and greatest key,
+    entries and bytes. Keys are in the order of `order`, so a block's first and last entries have its least and greatest."""
+    placed = packed(rows, block_bytes, order, size, overfull=True)
+    blocks = placed.groupBy(F.col("run").alias("block_id")).agg(F.count("*").alias("n_entries"), F.sum(size).alias("n_bytes"), F.min(order).alias("min_at"), F.max(order).alias("max_at"))
+    of = lambda name, at: rows.select(F.col(key).alias(name), F.col(order).alias(at))
+    return blocks.join(of("min_key", "min_at"), "min_at").join(of("max_key", "max_at"), "max_at").select("block_id", "min_key", "max_key", "n_entries", "n_bytes", "min_at", "max_at")
 
 
 def prune(probes: DataFrame, zones: DataFrame, at: str) -> DataFrame:

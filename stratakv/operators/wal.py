@@ -5,38 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.cut import written
 from ..schema import KEEP_SEGMENTS
-from .reads import as_of, newest, running_sum
+from .packing import packed
+from .reads import newest
 
 
 def pack_segments(log: DataFrame, limit: int, order: str = "ts", size: str = "size") -> DataFrame:
     """Segments of a greedy packing: segment_id (from 1), n_records, n_bytes, first, last.
 
     A segment ends before the record that would take it beyond `limit`; one longer record has a segment of its own.
-    Where a segment that began at a record would end is known for every record from prefix sums, by one as-of join.
-    The true starts are those reached from the first record; they are found by doubling the jumps, so the number of
-    rounds is the logarithm of the number of segments.
     """
-    summed = written(running_sum(log.select(order, size), order, size, "upto"), "wal-sums")
-    ends = summed.select((-F.col("upto")).alias("neg"), F.col(order).alias("next_start"))
-    asks = summed.select(F.col(order).alias("start"), (-(F.col("upto") - F.col(size) + limit)).alias("target"), F.col("upto").alias("own"))
-    asks = asks.withColumn("target", F.least("target", -F.col("own")))  # a record always fits into its own segment
-    hops = as_of(asks, ends, "target", "neg", ["next_start"], strict=True, width=1 << 22).select("start", "next_start")
-    hops = written(hops, "wal-hops")
-    first = summed.agg(F.min(order).alias("start"))
-    reached = written(first.where("start is not null"), "wal-starts")
-    while True:
-        step = reached.join(hops, "start").where("next_start is not null").select(F.col("next_start").alias("start"))
-        more = written(reached.unionByName(step).distinct(), "wal-starts")
-        if more.count() == reached.count():
-            break
-        reached = more
-        twice = hops.alias("a").join(hops.alias("b"), F.col("a.next_start") == F.col("b.start"), "left")
-        hops = written(twice.select(F.col("a.start").alias("start"), F.col("b.next_start").alias("next_start")), "wal-hops")
-    numbered = running_sum(reached.withColumn("one", F.lit(1)), "start", "one", "segment_id").select("start", "segment_id")
-    placed = as_of(summed, numbered, order, "start", ["segment_id"])
-    return placed.groupBy("segment_id").agg(F.count("*").alias("n_records"), F.sum(size).alias("n_bytes"), F.min(order).alias("first"), F.max(order).alias("last"))
+    placed = packed(log, limit, order, size, overfull=False)
+    return placed.groupBy((F.col("run") + 1).alias("segment_id")).agg(F.count("*").alias("n_records"), F.sum(size).alias("n_bytes"), F.min(order).alias("first"), F.max(order).alias("last"))
 
 
 def archive_list(segments: DataFrame, keep: int = KEEP_SEGMENTS) -> DataFrame:

@@ -23,6 +23,16 @@ PREFIX, NAME_PREFIX = "0" * (WIDTH - 2), "blue"
 KEYS = tuple(str(n).zfill(WIDTH) for n in (3, 17, 42, 99, 149, 99999999))
 ROOM = 4000  # bytes of a flush run and of a log segment
 
+
+
+def _greedy(source: str, order: str, limit: int) -> str:
+    """Tables up to placed(place, size, run): runs ended by the record that brings them to `limit` bytes."""
+    return f"""summed as (select {order} as place, size, sum(size) over (order by {order}) as upto from {source}),
+hops as materialized (select s.place as start, n.place as next_start from (select place, upto - size + {limit} as target from summed) s asof left join (select place, upto - size as before from summed) n on s.target <= n.before),
+starts as (select min(place) as start from summed union all select h.next_start from starts s join hops h on s.start = h.start where h.next_start is not null),
+placed as (select place, size, count(start) over (order by place) - 1 as run from summed left join starts on place = start)"""
+
+
 CTES = {
     "kv": f"kv as (select lpad(cast(user_id as varchar), {WIDTH}, '0') as k, event_id + 1 as ts, case when event_type = 'error' then 'DELETE' else 'PUT' end as op, value as v from events)",
     "half": "half as (select max(event_id) // 2 as s from events)",
@@ -41,7 +51,7 @@ CTES = {
     "man": "man as (select event_id as seq, case when event_type = 'error' then 'DEL' when event_type = 'signup' then 'WAL' else 'SST' end as kind, cast(user_id % 7 as integer) as level, event_id // 4 as id from events)",
     "files": "files as (select level, id from man where kind <> 'WAL' group by level, id having max(case when kind = 'SST' then seq end) > coalesce(max(case when kind = 'DEL' then seq end), -1))",
     "static": f"static as (select o_orderkey, lpad(cast(o_orderkey as varchar), {WIDTH}, '0') as k, length(o_orderpriority) + 18 as size from orders)",
-    "zones": f"zoned as (select *, (sum(size) over (order by o_orderkey) - size) // 4096 as block_id from static), zones as (select cast(block_id as bigint) as block_id, min(k) as min_key, max(k) as max_key, count(*) as n_entries, cast(sum(size) as bigint) as n_bytes, min(o_orderkey) as min_at, max(o_orderkey) as max_at from zoned group by block_id)",
+    "zones": f"{_greedy('static', 'o_orderkey', 4096)}, zones as (select p.run as block_id, min(k) as min_key, max(k) as max_key, count(*) as n_entries, cast(sum(p.size) as bigint) as n_bytes, min(place) as min_at, max(place) as max_at from placed p join static on place = o_orderkey group by p.run)",
     "sized": "sized as (select ts, 13 + length(k) + case when op = 'PUT' then 12 else 0 end as size from kv)",
     "wals": "wals as (select kv.*, (ts - 1) // 1000 as segment_id from kv)",
 }
@@ -218,17 +228,17 @@ def _sized(spark, d):
     return log.withColumn("size", (13 + F.length("k") + F.when(F.col("op") == PUT, 12).otherwise(0)).cast("long"))
 
 
-@query("memtable_flush_runs", "kv sized", f"select cast(run as bigint) as run, count(*) as n_rows, cast(sum(size) as bigint) as n_bytes, min(ts) as first_ts, max(ts) as last_ts from (select *, (sum(size) over (order by ts) - size) // {ROOM} as run from sized) group by run")
+@query("memtable_flush_runs", "kv sized", f", {_greedy('sized', 'ts', ROOM)} select run, count(*) as n_rows, cast(sum(size) as bigint) as n_bytes, min(place) as first_ts, max(place) as last_ts from placed group by run", recursive=True)
 def _(spark, d):
     return segments.flush_runs(_sized(spark, d), ROOM)
 
 
-@query("block_zone_map", "static zones", "select block_id, min_key, max_key, n_entries, n_bytes from zones")
+@query("block_zone_map", "static zones", "select block_id, min_key, max_key, n_entries, n_bytes from zones", recursive=True)
 def _(spark, d):
     return segments.zone_map(a.kv_static(spark, d), "o_orderkey").drop("min_at", "max_at")
 
 
-@query("zone_map_prune", "static zones", "select c_custkey * 11 as probe, block_id from customer join zones on c_custkey * 11 between min_at and max_at")
+@query("zone_map_prune", "static zones", "select c_custkey * 11 as probe, block_id from customer join zones on c_custkey * 11 between min_at and max_at", recursive=True)
 def _(spark, d):
     probes = a.table(spark, d, "customer").select((F.col("c_custkey") * 11).alias("probe"))
     return segments.prune(probes, segments.zone_map(a.kv_static(spark, d), "o_orderkey"), "probe")
@@ -252,7 +262,7 @@ def _(spark, d):
 # Write-ahead log.
 
 _PACK = f"""summed as (select ts, size, sum(size) over (order by ts) as upto from sized),
-hops as (select s.ts as start, min(n.ts) as next_start from summed s left join summed n on n.ts between s.ts and s.ts + {ROOM} / 10 and s.upto - s.size + greatest({ROOM}, s.size) < n.upto group by s.ts),
+hops as materialized (select s.ts as start, n.ts as next_start from (select ts, upto - size + greatest({ROOM}, size) as target from summed) s asof left join summed n on s.target < n.upto),
 starts as (select min(ts) as start from summed union all select h.next_start from starts s join hops h on s.start = h.start where h.next_start is not null),
 numbered as (select ts, size, count(start) over (order by ts) as segment_id from summed left join starts on ts = start),
 segs as (select segment_id, count(*) as n_records, cast(sum(size) as bigint) as n_bytes, min(ts) as first, max(ts) as last from numbered group by segment_id)"""

@@ -96,6 +96,22 @@ def test_greedy_segments(spark, sizes):
     assert got == want
 
 
+def test_flush_runs_end_with_the_record_that_fills_them(spark):
+    sizes = [(i * 37) % 90 + 1 for i in range(60)] + [500, 1, 1]
+    want, used = [0], 0
+    for s in sizes:
+        if used >= 100:
+            want.append(0)
+            used = 0
+        want[-1] += 1
+        used += s
+    df = spark.createDataFrame([(i + 1, s, f"{i:04d}") for i, s in enumerate(sizes)], "ts long, size long, k string")
+    assert [r["n_rows"] for r in segments.flush_runs(df, 100).orderBy("run").collect()] == want
+    zones = segments.zone_map(df, "ts", block_bytes=100).orderBy("block_id").collect()
+    assert [r["n_entries"] for r in zones] == want
+    assert [r["min_key"] for r in zones] == [f"{sum(want[:i]):04d}" for i in range(len(want))] and zones[-1]["max_key"] == f"{len(sizes) - 1:04d}"
+
+
 def test_point_in_time_archive_wins(spark):
     schema = "segment_id long, " + KV_LOG
     live = spark.createDataFrame([(1, "a", 1, "PUT", 1.0), (2, "a", 5, "PUT", 5.0)], schema)
