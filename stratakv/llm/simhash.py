@@ -16,6 +16,13 @@ from .components import connected_components
 BITS, DISTANCE, SHINGLE, SEED = 64, 4, 4, 42
 #: Buckets of up to so many fingerprints give all their pairs; larger ones first link to their least member.
 PAIRS_UP_TO = 24
+#: Strays of an open bucket (members outside its largest component) that all its members are compared with; a bucket of
+#: more is cut up first. About where the rows of the pieces cost as much as the comparisons they save.
+STRAYS_UP_TO = 256
+#: Fingerprints of one piece that are compared with as many others in one group of rows.
+PART = 2000
+#: A key's low bits are the number of its variant; no design has so many.
+TAGS = 1 << 12
 #: Shingles that are hashed before their bits are summed.
 BLOCK = 1 << 14
 
@@ -88,11 +95,12 @@ def links(fps: DataFrame, count: int) -> DataFrame:
 
     A bucket is what agrees in a variant. Small buckets give all their near pairs. The members of a large one link
     to its least member where that is near; of the pairs left, only those whose ends are not yet connected can
-    matter, and they are all compared.
+    matter. Those are all compared, but in buckets of many strays only where they agree in a piece as well.
     """
     masks = variants(choose_segments(count))
     each = fps.select("fp", F.posexplode(F.lit([_signed(m) for m in masks])).alias("tag", "mask"))
-    keyed = each.select("fp", F.xxhash64("tag", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+    hashed = F.xxhash64("tag", F.col("fp").bitwiseAND(F.col("mask")))
+    keyed = each.select("fp", hashed.bitwiseAND(F.lit(-TAGS)).bitwiseOR(F.col("tag").cast("long")).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1")
     sizes = Table(sizes, "bucket-sizes").df
     buckets = Table(lookup(keyed, sizes, ["key"], "n", count * len(masks)).where("n > 1"), "buckets").df
@@ -109,13 +117,45 @@ def links(fps: DataFrame, count: int) -> DataFrame:
     own = Table(own, "bucket-roots").df
     # In a bucket of several components only those besides its largest, which are few as a rule, are met with all the rest.
     shares = own.groupBy("key", "root").agg(F.count("*").alias("rows"))
-    split = shares.groupBy("key").agg(F.max_by("root", "rows").alias("largest"), F.count("*").alias("roots")).where("roots > 1").select("key", "largest")
-    split = bounded(Table(split, "open-keys").df)
-    strays = Table(own.join(split, "key").where("root <> largest").select("fp", "key", "root"), "strays").df
-    if strays.isEmpty():
-        return found
-    rest = own.alias("y").join(bounded(strays).alias("x"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _near("x.fp", "y.fp"))
-    return found.unionByName(rest.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct())
+    split = shares.groupBy("key").agg(F.max_by("root", "rows").alias("largest"), (F.sum("rows") - F.max("rows")).alias("strays"))
+    split = bounded(Table(split.where("strays > 0"), "open-keys").df)
+    opened = own.join(split, "key")
+    strays = Table(opened.where((F.col("root") != F.col("largest")) & (F.col("strays") <= STRAYS_UP_TO)).select("fp", "key", "root"), "strays").df
+    if not strays.isEmpty():
+        rest = own.alias("y").join(bounded(strays).alias("x"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _near("x.fp", "y.fp"))
+        found = found.unionByName(_ends(rest))
+    crowded = opened.where(F.col("strays") > STRAYS_UP_TO)
+    return found if crowded.isEmpty() else found.unionByName(_ends(_by_pieces(crowded, masks)))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
+
+
+def pieces(mask: int) -> list[int]:
+    """The bits that a variant leaves open, cut into DISTANCE + 1 masks; of two near fingerprints of its bucket one is alike."""
+    left = [b for b in range(BITS) if not mask >> b & 1]
+    edges = [round(len(left) * k / (DISTANCE + 1)) for k in range(DISTANCE + 2)]
+    return [sum(1 << b for b in left[i:j]) for i, j in zip(edges, edges[1:], strict=False)]
+
+
+def _by_pieces(members: DataFrame, masks: list[int]) -> DataFrame:
+    """Near pairs x, y of different components in a bucket, x a stray: compared where they agree in a piece, in squares of parts."""
+    cuts = [(tag, k, _signed(p)) for tag, m in enumerate(masks) for k, p in enumerate(pieces(m))]
+    cuts = members.sparkSession.createDataFrame(cuts, "tag long, piece int, bits long")
+    fine = members.join(F.broadcast(cuts), F.col("key").bitwiseAND(F.lit(TAGS - 1)) == F.col("tag"))
+    piece = F.xxhash64("key", "piece", F.col("fp").bitwiseAND(F.col("bits")))
+    fine = Table(fine.select("fp", "root", (F.col("root") != F.col("largest")).alias("stray"), piece.alias("key")), "pieces").df
+    parts = fine.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    parts = Table(parts.where("r0 <> r1").select("key", "parts"), "piece-parts").df
+    dealt = lookup(fine, parts, ["key"], "parts", fine.count() // PART).where("parts is not null")
+    dealt = Table(dealt.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")), "pieces-dealt").df
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    x = dealt.where("stray").select("fp", "root", "key", F.col("part").alias("row"), every.alias("col"))
+    y = dealt.select("fp", "root", "stray", "key", every.alias("row"), F.col("part").alias("col"))
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "row", "col")]
+    once = ~F.col("y.stray") | (F.col("x.fp") < F.col("y.fp"))
+    return x.alias("x").join(y.alias("y"), [*same, once, F.col("x.root") != F.col("y.root"), _near("x.fp", "y.fp")])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

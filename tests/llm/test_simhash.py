@@ -104,3 +104,50 @@ def test_components_of_a_long_path(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in connected_components(df).collect()}
     assert got == {i: 0 for i in range(n + 1)} | {1000: 1000, 1001: 1000}
+
+
+@pytest.mark.parametrize("n", [3, 5, 6, 7, 8])
+def test_near_fingerprints_of_a_bucket_agree_in_a_piece(n):
+    rng = random.Random(n)
+    masks = simhash.variants(n)
+    assert len(masks) < simhash.TAGS
+    for m in rng.sample(masks, 60):
+        cut = simhash.pieces(m)
+        assert sum(cut) == ~m & ((1 << 64) - 1) and len(cut) == 5
+        x = y = rng.getrandbits(64)
+        for b in rng.sample([b for b in range(64) if not m >> b & 1], 4):
+            y ^= 1 << b
+        assert any((x ^ y) & p == 0 for p in cut)
+
+
+def crowded_bucket(n=600, near=40):
+    """Fingerprints alike in their first segment and else at random, so that each is a component, and some near ones."""
+    rng = random.Random(8)
+    low = rng.getrandbits(21)
+    fps = [low | rng.getrandbits(43) << 21 for _ in range(n)]
+    for x in fps[:near]:
+        for b in rng.sample(range(21, 64), 4):
+            x ^= 1 << b
+        fps.append(x)
+    return {f - (1 << 64) if f >> 63 else f: f for f in fps}
+
+
+def test_a_crowded_bucket_does_not_meet_all_pairs(spark, monkeypatch):
+    """Pairs that come to be compared, counted by letting all of them pass: 1 in 10 of the bucket's at most."""
+    near = simhash._near
+    monkeypatch.setattr(simhash, "_near", lambda a, b: near(a, b) if b == "least" else simhash.F.lit(True))
+    fps = crowded_bucket()
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    assert simhash.links(df, len(fps)).distinct().count() < len(fps) * (len(fps) - 1) / 20
+
+
+@pytest.mark.parametrize("strays, part", [(256, 2000), (0, 7)])
+def test_crowded_buckets_against_brute_force(spark, monkeypatch, strays, part):
+    monkeypatch.setattr(simhash, "STRAYS_UP_TO", strays)
+    monkeypatch.setattr(simhash, "PART", part)
+    fps = crowded_bucket()
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    roots = {r["node"]: r["root"] for r in connected_components(simhash.links(df, len(fps))).collect()}
+    want = brute_components(fps)
+    group = lambda m: sorted(sorted(k for k in m if m[k] == v) for v in set(m.values()))
+    assert group({f: roots.get(f, f) for f in want}) == group(want)
