@@ -2,8 +2,9 @@
 
 import random
 
-from stratakv.operators import deadlock
+from stratakv.operators import deadlock, transactions
 from stratakv.plans import catalog
+from stratakv.schema import TXN_OPS, TXNS
 from tests.test_whole_tables import cycles
 
 
@@ -28,3 +29,34 @@ def test_waits_of_a_hot_key_are_not_written_to_find_cycles(spark, tmp_path, monk
     sizes = counted(monkeypatch, deadlock)
     assert {r["txn_id"]: r["component"] for r in catalog.QUERIES["deadlock_components"](spark, str(tmp_path)).collect()} == cycles(waits)
     assert max(sizes) <= len(rows) < len(waits) / 5
+
+
+def history(spark):
+    """Transactions that all overlap in time, of which half read one wide range and half write keys in it."""
+    txns = spark.createDataFrame([(i, 0, 100 + i, "Serializable") for i in range(40)], TXNS)
+    ops = spark.createDataFrame([(i, (7 * i + j) % 50, "W") for i in range(20) for j in range(5)], TXN_OPS)
+    ranges = spark.createDataFrame([(i, 3, i % 2 == 0, 40, True) for i in range(20, 40)], "txn_id long, lo long, lo_inc boolean, hi long, hi_inc boolean")
+    return txns, ops, ranges
+
+
+def aggregates(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate")
+
+
+def test_phantoms_come_out_once_without_a_shuffle_of_pairs(spark):
+    txns, ops, ranges = history(spark)
+    found = transactions.phantoms(ranges, ops, txns)
+    keys = {i: {(7 * i + j) % 50 for j in range(5)} for i in range(20)}
+    want = sorted((i, o) for i in range(20, 40) for o in keys if any(3 + i % 2 <= k <= 40 for k in keys[o]))
+    assert sorted(map(tuple, found.collect())) == want and aggregates(found) == 0
+    twice = transactions.phantoms(ranges.unionByName(ranges), ops, txns)
+    assert sorted(map(tuple, twice.collect())) == want
+
+
+def test_verdicts_of_ranges_write_no_pairs(spark, monkeypatch):
+    txns, ops, ranges = history(spark)
+    edges = transactions.inbound_edges(ops, txns), transactions.outbound_edges(ops, txns)
+    want = sorted(map(tuple, transactions.verdicts(txns, *edges, transactions.phantoms(ranges, ops, txns)).collect()))
+    sizes = counted(monkeypatch, transactions)
+    assert sorted(map(tuple, transactions.verdicts_of_ranges(txns, *edges, ranges, ops).collect())) == want
+    assert max(sizes) <= ops.count() and sum(v == "Phantom" for _, v in want) == 20
