@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bounds import contains, overlap
 from ..schema import COMPATIBLE, ESCALATE_LOCKS, FORCE_LOCKS, MODES, UPGRADES, WARN_LOCKS
+from ..plans.cut import written
 from .intervals import filled, meet
 
 
@@ -36,7 +37,8 @@ def upgrades(steps: DataFrame) -> DataFrame:
 
 def holders(requests: DataFrame) -> DataFrame:
     """Per key: transactions, requests, and whether any wants it alone."""
-    return requests.groupBy("k").agg(F.countDistinct("txn_id").alias("n_holders"), F.count("*").alias("n_requests"), F.max((F.col("mode") == "X").cast("int")).alias("exclusive"))
+    each = requests.groupBy("k", "txn_id").agg(F.count("*").alias("n"), F.max((F.col("mode") == "X").cast("int")).alias("x"))
+    return each.groupBy("k").agg(F.count("txn_id").alias("n_holders"), F.sum("n").alias("n_requests"), F.max("x").alias("exclusive"))
 
 
 def _ends(ranges: DataFrame, points: DataFrame | None = None) -> tuple[int, int]:
@@ -48,14 +50,34 @@ def _ends(ranges: DataFrame, points: DataFrame | None = None) -> tuple[int, int]
     return low or 0, high or 0
 
 
+def _clash(mode: Column) -> Column:
+    """The modes that do not go with one, as bits in the order of MODES; the last bit stands for modes not among them."""
+    bits = [F.when(compatible(mode, F.lit(m)), 0).otherwise(1 << i) for i, m in enumerate(MODES)]
+    return sum(bits, F.lit(1 << len(MODES)))
+
+
+def _bit(mode: Column) -> Column:
+    at = F.lit(1 << len(MODES))
+    for i, m in enumerate(MODES):
+        at = F.when(mode == m, 1 << i).otherwise(at)
+    return at
+
+
 def range_point_conflicts(ranges: DataFrame, requests: DataFrame) -> DataFrame:
-    """(k, txn_id, range_txn_id): a request for a key in another's range, in a mode that does not go with the range's."""
-    q = requests.select("txn_id", "k", "mode").distinct()
-    r = ranges.select(F.col("txn_id").alias("range_txn_id"), F.col("mode").alias("range_mode"), "lo", "lo_inc", "hi", "hi_inc")
-    r = filled(r, "lo", "hi", *_ends(ranges, q), "b_")
-    q = q.withColumn("a_lo", F.col("k").cast("long")).withColumn("a_hi", F.col("a_lo"))
-    met = contains(F.col("k"), F.col("lo"), F.col("lo_inc"), F.col("hi"), F.col("hi_inc")) & (F.col("txn_id") != F.col("range_txn_id"))
-    return meet(q, r).where(met & ~compatible(F.col("mode"), F.col("range_mode"))).select("k", "txn_id", "range_txn_id").distinct()
+    """(k, txn_id, range_txn_id): a request for a key in another's range, in a mode that does not go with the range's.
+
+    Ranges meet the distinct keys, and then the requests of a key, one row for all modes of a transaction. Where each
+    transaction has one range, the result comes out once by itself; only with more ranges it is shuffled.
+    """
+    q = requests.groupBy("k", "txn_id").agg(F.bit_or(_clash(F.col("mode"))).alias("clash"))
+    r = written(ranges.select(F.col("txn_id").alias("range_txn_id"), _bit(F.col("mode")).alias("bit"), "lo", "lo_inc", "hi", "hi_inc"), "ranges")
+    keys = written(requests.select("k").distinct().select(F.col("k").alias("key"), F.col("k").cast("long").alias("a_lo")), "keys")
+    met = contains(F.col("key"), F.col("lo"), F.col("lo_inc"), F.col("hi"), F.col("hi_inc"))
+    spans = filled(r, "lo", "hi", *_ends(r, keys.select(F.col("key").alias("k"))), "b_")
+    held = meet(keys.withColumn("a_hi", F.col("a_lo")), spans, where=met).select("key", "range_txn_id", "bit")
+    clash = (F.col("txn_id") != F.col("range_txn_id")) & (F.col("clash").bitwiseAND(F.col("bit")) != 0)
+    found = q.join(held, (F.col("k") == F.col("key")) & clash).select("k", "txn_id", "range_txn_id")
+    return found if r.groupBy("range_txn_id").count().where("count > 1").isEmpty() else found.distinct()
 
 
 def range_overlaps(ranges: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 import random
 
-from stratakv.operators import deadlock, transactions
+from stratakv.operators import deadlock, locks, packing, transactions
 from stratakv.plans import catalog
 from stratakv.schema import TXN_OPS, TXNS
+from stratakv.sources import adapters
 from tests.test_whole_tables import cycles
 
 
@@ -60,3 +61,53 @@ def test_verdicts_of_ranges_write_no_pairs(spark, monkeypatch):
     sizes = counted(monkeypatch, transactions)
     assert sorted(map(tuple, transactions.verdicts_of_ranges(txns, *edges, ranges, ops).collect())) == want
     assert max(sizes) <= ops.count() and sum(v == "Phantom" for _, v in want) == 20
+
+
+def test_conflicts_of_ranges_come_out_once_without_a_shuffle_of_pairs(spark):
+    requests = spark.createDataFrame([(t, t % 9, m, n) for t in range(30) for n, m in enumerate(("S", "X"))], "txn_id long, k long, mode string, l_linenumber int")
+    ranges = spark.createDataFrame([(t, "SX"[t % 2], t % 5, True, None if t % 7 == 0 else t % 5 + 3, t % 3 == 0) for t in range(30)], "txn_id long, mode string, lo long, lo_inc boolean, hi long, hi_inc boolean")
+    inside = lambda k, r: k >= r[2] and (r[4] is None or k < r[4] or (k == r[4] and r[5]))
+    rows = [tuple(r) for r in ranges.collect()]
+    want = sorted({(t % 9, t, r[0]) for t in range(30) for r in rows if r[0] != t and inside(t % 9, r)})  # X goes with no mode
+    found = locks.range_point_conflicts(ranges, requests)
+    assert sorted(map(tuple, found.collect())) == want and aggregates(found) == 1  # of the requests
+    assert sorted(map(tuple, locks.range_point_conflicts(ranges.unionByName(ranges), requests).collect())) == want
+
+
+def test_waits_come_out_once_without_a_shuffle_of_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = list({(t, rng.randrange(6), rng.randrange(4)) for t in range(30) for _ in range(t % 5 + 1)})
+    requests = spark.createDataFrame(rows, "txn_id long, k long, l_linenumber int")
+    want = sorted({(a, b) for a, k, n in rows for b, j, m in rows if k == j and m < n and a != b})
+    found = deadlock.wait_edges(requests)
+    assert sorted(map(tuple, found.collect())) == want and aggregates(found) == 0
+    monkeypatch.setattr(deadlock, "_FEW", 2)
+    assert sorted(map(tuple, deadlock.wait_edges(requests).collect())) == want
+
+
+def test_holders_count_without_an_expansion(spark):
+    rows = [(1, 5, "S", 1), (1, 5, "X", 2), (2, 5, "S", 1), (2, 6, "S", 2), (None, 6, "S", 1)]
+    found = locks.holders(spark.createDataFrame(rows, "txn_id long, k long, mode string, l_linenumber int"))
+    assert sorted(map(tuple, found.select("k", "n_holders", "n_requests", "exclusive").collect())) == [(5, 2, 3, 1), (6, 1, 2, 0)]
+
+
+def test_requests_are_not_combined_where_they_are_read(spark):
+    plan = adapters.lock_requests(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange") > plan.rindex("HashAggregate")
+
+
+def test_packing_tables_shrink(spark, monkeypatch):
+    rng = random.Random(2)
+    sizes = [rng.choice([1, 2, 3, 9, 40]) for _ in range(400)]
+    log = spark.createDataFrame(list(enumerate(sizes)), "ts long, size long").repartition(3)
+    monkeypatch.setattr(packing, "_LAST", 20)
+    for overfull in (True, False):
+        want, run, held = {}, 0, 0
+        for i, n in enumerate(sizes):
+            if held and (held >= 20 if overfull else held + n > 20):
+                run, held = run + 1, 0
+            want[i], held = run, held + n
+        with monkeypatch.context() as m:
+            written = counted(m, packing)
+            assert {r["ts"]: r["run"] for r in packing.packed(log, 20, "ts", "size", overfull).collect()} == want
+        assert sum(written) < 6 * len(sizes)
